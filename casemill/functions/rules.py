@@ -91,13 +91,13 @@ def charged_keys(keys: Column) -> Column:
 
 def label_series(keys: Column) -> Column:
     """Sorted distinct series labels of an array of rule keys."""
-    return F.array_sort(F.array_distinct(F.transform(charged_keys(keys), series_label)))
+    return F.sort_array(F.array_distinct(F.transform(charged_keys(keys), series_label)))
 
 
 def rulebook_rules(keys: Column) -> Column:
     """Sorted distinct FINRA rule numbers charged, NASD rules counted as their successors."""
     finra = F.filter(charged_keys(keys), lambda k: k.startswith("FINRA:"))
-    return F.array_sort(F.array_distinct(F.transform(finra, lambda k: F.upper(number_of(k)))))
+    return F.sort_array(F.array_distinct(F.transform(finra, lambda k: F.upper(number_of(k)))))
 
 
 def rulebook_rules_of(joined_keys: Column) -> Column:

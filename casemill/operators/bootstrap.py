@@ -34,7 +34,7 @@ def resampled_macro_f1(predictions: DataFrame, reps: int = 2000, seed: int = 0,
     spark = predictions.sparkSession
     y, hit = F.col("y"), predicted(F.col("p"))
     code = F.when((y == 1) & (hit == 1), "tp").when(hit == 1, "fp").when(y == 1, "fn")
-    outcome = F.array_sort(F.collect_list(F.when(code.isNotNull(), F.struct("model", "series", code.alias("code")))))
+    outcome = F.sort_array(F.collect_list(F.when(code.isNotNull(), F.struct("model", "series", code.alias("code")))))
     cases = predictions.groupBy("case_no").agg(outcome.alias("outcome"))
     numbered = written(global_row_number(cases, [F.col("case_no")], "idx").select((F.col("idx") - 1).alias("idx"), "outcome"))
     n = numbered.count()

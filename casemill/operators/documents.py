@@ -84,9 +84,10 @@ def titles_in_text(texts: DataFrame, titles: DataFrame, text: str, title: str, k
     """
     names = titles.select(title).distinct()
     if names.limit(inline_limit + 1).count() <= inline_limit:
-        listed = names.agg(F.array_sort(F.collect_list(title))).scalar()
-        inside = F.filter(listed, lambda t: F.contains(F.col(text), t))
-        return texts.select(*keep, F.explode_outer(inside).alias(title)).filter(F.col(title).isNotNull())
+        listed = names.agg(F.sort_array(F.collect_list(title))).scalar()
+        inside = F.filter("_titles", lambda t: F.contains(F.col(text), t))
+        rows = texts.withColumn("_titles", listed)
+        return rows.select(*keep, F.explode_outer(inside).alias(title)).filter(F.col(title).isNotNull())
     width = names.agg(F.min(F.length(title))).first()[0]
     starts = F.sequence(F.lit(1), F.greatest(F.length(text) - width + 1, F.lit(1)))
     grams = F.array_distinct(F.transform(starts, lambda i: F.substring(F.col(text), i, F.lit(width))))

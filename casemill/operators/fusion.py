@@ -34,12 +34,12 @@ def top_rules(scores: DataFrame, chunks: DataFrame, queries: DataFrame, query_id
     book = searchable(chunks, conduct_only).select("chunk_id", R.base_rule(F.col("rule_no")).alias("rule"))
     top = _top_rules(scores.join(book, "chunk_id"), query_id, k).select(query_id, "chunk_id", "rule", "score", "rank")
     first = book.groupBy("rule").agg(F.min("chunk_id").alias("chunk_id")).orderBy("chunk_id").limit(2 * k)
-    pad = first.agg(F.array_sort(F.collect_list(F.struct("chunk_id", "rule")))).scalar()
+    pad = first.agg(F.sort_array(F.collect_list(F.struct("chunk_id", "rule")))).scalar()
     have = top.groupBy(query_id).agg(F.collect_set("rule").alias("_rules"))
     short = queries.select(query_id).join(have, query_id, "left").withColumn(
         "_rules", F.coalesce("_rules", F.array().cast("array<string>"))).filter(F.size("_rules") < k)
-    left = F.filter(pad, lambda p: ~F.array_contains(F.col("_rules"), p["rule"]))
-    filled = short.select(query_id, F.size("_rules").alias("_n"), F.posexplode(
+    left = F.filter("_pad", lambda p: ~F.array_contains(F.col("_rules"), p["rule"]))
+    filled = short.withColumn("_pad", pad).select(query_id, F.size("_rules").alias("_n"), F.posexplode(
         F.slice(left, F.lit(1), k - F.size("_rules"))).alias("_pos", "p")).select(
         query_id, "p.chunk_id", "p.rule", F.lit(0.0).alias("score"), (F.col("_n") + F.col("_pos") + 1).alias("rank"))
     return top.unionByName(filled)
@@ -60,8 +60,8 @@ def _bm25_ranks(scores: DataFrame, candidates: DataFrame, query_id: str) -> Data
     """
     known = candidates.join(scores, [query_id, "chunk_id"], "left")
     lists = known.groupBy(query_id).agg(
-        F.array_sort(F.collect_list(F.when(F.col("score").isNotNull(), F.struct((-F.col("score")).alias("s"), "chunk_id")))).alias("matched"),
-        F.array_sort(F.collect_list(F.when(F.col("score").isNull(), F.col("chunk_id")))).alias("unmatched"))
+        F.sort_array(F.collect_list(F.when(F.col("score").isNotNull(), F.struct((-F.col("score")).alias("s"), "chunk_id")))).alias("matched"),
+        F.sort_array(F.collect_list(F.when(F.col("score").isNull(), F.col("chunk_id")))).alias("unmatched"))
     me = F.struct((-F.col("score")).alias("s"), F.col("chunk_id").alias("chunk_id"))
     # a row is better than the candidates after these
     at = F.size(F.filter("matched", lambda c: c <= me))
@@ -135,7 +135,7 @@ def retrieval_hits(ranked: DataFrame, gold: DataFrame, query_id: str) -> DataFra
     scored = gold.filter(F.size("gold") > 0)
     hit = F.when(F.array_contains(F.col("gold"), F.col("rule")), F.col("rank"))
     return ranked.join(scored, query_id).groupBy("retriever", query_id).agg(
-        F.min(hit).alias("first"), F.array_sort(F.collect_list(F.struct("rank", "rule"))).alias("top")).select(
+        F.min(hit).alias("first"), F.sort_array(F.collect_list(F.struct("rank", "rule"))).alias("top")).select(
         "retriever", query_id, F.col("first").isNotNull().alias("hit"),
         F.coalesce(1 / F.col("first"), F.lit(0.0)).alias("rr"), F.transform("top", lambda t: t["rule"]).alias("top"))
 
@@ -188,7 +188,7 @@ def gold_in_book(gold: DataFrame, chunks: DataFrame, query_id: str) -> DataFrame
 def excerpts(ranked: DataFrame, chunks: DataFrame, query_id: str) -> DataFrame:
     """Numbered excerpts of each query's ranked chunks as one text."""
     rows = ranked.select(query_id, "rank", "chunk_id").join(chunks.select("chunk_id", "rule_no", "title", "text"), "chunk_id")
-    listed = rows.groupBy(query_id).agg(F.array_sort(F.collect_list(F.struct("rank", "rule_no", "title", "text"))).alias("c"))
+    listed = rows.groupBy(query_id).agg(F.sort_array(F.collect_list(F.struct("rank", "rule_no", "title", "text"))).alias("c"))
     entry = F.transform("c", lambda c, i: F.concat(
         F.lit("["), (i + 1).cast("string"), F.lit("] Rule "), c["rule_no"], F.lit(": "), c["title"], F.lit("\n"), c["text"]))
     return listed.select(query_id, F.array_join(entry, "\n\n").alias("excerpts"))

@@ -53,8 +53,9 @@ def merge_rare(df: DataFrame, series: str, min_cases: int = C.MIN_SERIES_CASES,
     counts = (df.filter("split = 'train'").select(F.explode(series).alias("label")).groupBy("label").count()
               .filter(F.col("count") >= min_cases))
     keep = counts.agg(F.collect_set("label")).scalar()
-    merged = F.transform(F.col(series), lambda s: F.when(F.array_contains(keep, s), s).otherwise(C.OTHER_LABEL))
-    return df.withColumn(out, joined(F.array_sort(F.array_distinct(merged))))
+    own = F.col(series)
+    other = F.when(F.size(F.array_except(own, keep)) > 0, F.array(F.lit(C.OTHER_LABEL))).otherwise(F.array().cast("array<string>"))
+    return df.withColumn(out, joined(F.sort_array(F.concat(F.array_intersect(own, keep), other))))
 
 
 def build_dataset(cases: DataFrame, labels: DataFrame, min_cases: int = C.MIN_SERIES_CASES, **years) -> DataFrame:

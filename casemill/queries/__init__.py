@@ -1,0 +1,10 @@
+"""Registered queries: name -> (function of (spark, folder), equivalent SQL or None)."""
+
+from casemill.queries import labels
+
+ALL: dict = {}
+for _module in (labels,):
+    for _name, _entry in _module.QUERIES.items():
+        if _name in ALL:
+            raise ValueError(f"query {_name} registered twice")
+        ALL[_name] = _entry

@@ -39,7 +39,7 @@ def clamp(p: Column) -> Column:
 
 def probs_to_json(df: DataFrame, keys: Sequence[str], series: str = "series", p: str = "p") -> DataFrame:
     """One row per key with a JSON map of clamped probabilities."""
-    pairs = F.array_sort(F.collect_list(F.struct(F.col(series), clamp(F.col(p)))))
+    pairs = F.sort_array(F.collect_list(F.struct(F.col(series), clamp(F.col(p)))))
     return df.groupBy(*keys).agg(F.to_json(F.map_from_entries(pairs)).alias("probs"))
 
 
@@ -57,7 +57,7 @@ def top_probabilities(probs: Column, n: int = 3) -> Column:
     """The n most probable entries of a JSON map, highest first, ties by name."""
     entries = F.transform(F.map_entries(F.from_json(probs, PROBABILITIES)),
                           lambda e: F.struct((-e["value"]).alias("rank"), e["key"].alias("series"), e["value"].alias("p")))
-    return F.transform(F.slice(F.array_sort(entries), 1, n), lambda e: F.struct(e["series"], e["p"]))
+    return F.transform(F.slice(F.sort_array(entries), 1, n), lambda e: F.struct(e["series"], e["p"]))
 
 
 def parse_cited(reasons: Column) -> Column:
