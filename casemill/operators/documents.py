@@ -33,8 +33,11 @@ def segment_reports(reports: DataFrame, keep: Sequence[str] = ("report_url", "re
 def monthly_cases(reports: DataFrame) -> DataFrame:
     """Report cases with masked text and cited rules; a case in several reports keeps the latest report's row."""
     cases = keep_latest(segment_reports(reports), ["case_no"], ["report_month", "report_url", "pos"]).drop("pos")
-    return cases.withColumn("masked_text", CT.mask_citations(F.col("text"))).withColumn(
-        "summary_rules", joined(CT.citation_keys(F.col("text"))))
+    # the spans serve both the masking and the rules
+    both = F.transform(F.array(CT.claimed_spans(F.col("text"))), lambda s: F.struct(
+        CT.mask_spans(F.col("text"), s).alias("masked_text"),
+        joined(F.array_distinct(CT.keys_of(CT.citations_of(s)))).alias("summary_rules")))
+    return cases.select("*", F.inline(both))
 
 
 def with_report_month(reports: DataFrame) -> DataFrame:

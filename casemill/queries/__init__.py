@@ -1,9 +1,9 @@
 """Registered queries: name -> (function of (spark, folder), equivalent SQL or None)."""
 
-from casemill.queries import labels
+from casemill.queries import labels, metrics, text
 
 ALL: dict = {}
-for _module in (labels,):
+for _module in (labels, metrics, text):
     for _name, _entry in _module.QUERIES.items():
         if _name in ALL:
             raise ValueError(f"query {_name} registered twice")

@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 from casemill import constants as C
 from casemill.functions.arrays import joined
 from casemill.operators.labels import binarized, build_dataset, case_labels, collected_classes
+from casemill.sources.session import written
 from casemill.sources.tables import load_table, spread
 
 YEARS = {"train": (1995, 1998), "validation": (1999, 1999), "test": (2000, 2001)}
@@ -158,7 +159,7 @@ def probability(case: Column, series_name: Column, model_no: int, y: Column) ->
 
 def predictions(spark: SparkSession, folder: str, split: str = "test") -> DataFrame:
     """Long predictions of three models for the cases of a split."""
-    data = dataset(spark, folder)
+    data = written(dataset(spark, folder).select("case_no", "split", "labels"))
     classes = collected_classes(data)
     truth = binarized(data.filter(F.col("split") == split), classes)
     per_model = F.array(*[F.struct(F.lit(m).alias("model"), probability(
@@ -213,7 +214,7 @@ PHRASES = """phrased AS (
     WHEN 5 THEN 'SA_SECTION:' || CAST(l_partkey % 30 + 1 AS VARCHAR)
     WHEN 6 THEN 'REG_NMS:6' || lpad(CAST(l_partkey % 14 AS VARCHAR), 2, '0')
     ELSE 'EXCHANGE:' || num END AS cited,
-   row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_returnflag, l_extendedprice, l_suppkey, l_linestatus, l_shipdate) AS at
+   row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_returnflag, l_extendedprice, l_suppkey, l_linestatus, l_shipdate) AS place
   FROM (SELECT *, CAST(1000 + l_partkey % 900 * 10 AS VARCHAR) AS num FROM lineitem))"""
 
 

@@ -5,8 +5,14 @@ from __future__ import annotations
 from pyspark.sql import types as T
 
 
-def _table(ddl: str) -> T.StructType:
-    return T.StructType.fromDDL(ddl)
+_TYPES = {"string": T.StringType(), "int": T.IntegerType(), "bigint": T.LongType(), "double": T.DoubleType(),
+          "boolean": T.BooleanType(), "date": T.DateType(), "array<float>": T.ArrayType(T.FloatType())}
+
+
+def _table(columns: str) -> T.StructType:
+    """A schema from "name type, ..."; built without a session, so the module can be imported before one exists."""
+    pairs = (c.split() for c in columns.split(", "))
+    return T.StructType([T.StructField(name, _TYPES[kind]) for name, kind in pairs])
 
 
 MONTHLY_CASES = _table("case_no string, report_url string, report_month string, section string, respondent string, "
