@@ -22,16 +22,19 @@ def without_markers(text: Column) -> Column:
     return F.translate(text, _EDGE + _INNER, _BLANK * 2)
 
 
-def find_spans(text: Column, pattern: str | Column, last_group: int = 3) -> Column:
-    """Matches of a pattern with three groups (head, body, tail) that together make up the match.
+def marked(text: Column, pattern: str | Column, groups: bool = True) -> Column:
+    """The text with every match wrapped in markers, or null without a match.
 
-    Returns ``array<struct<start,end,head,body,tail>>`` with 0-based, end-exclusive offsets. With
-    ``last_group=0`` the pattern needs no groups and the whole match is the body. The text must be free of
-    marker characters (``without_markers``).
+    The pattern has three groups (head, body, tail) that together make up the match; with ``groups=False`` it
+    needs none and the whole match is the body. The text must be free of markers (``without_markers``).
     """
-    replacement = _EDGE + (f"$1{_INNER}$2{_INNER}$3" if last_group else f"{_INNER}$0{_INNER}") + _EDGE
+    replacement = _EDGE + (f"$1{_INNER}$2{_INNER}$3" if groups else f"{_INNER}$0{_INNER}") + _EDGE
     regex = pattern if isinstance(pattern, Column) else F.lit(pattern)
+    return F.when(F.rlike(text, regex), F.regexp_replace(text, regex, F.lit(replacement)))
 
+
+def spans_in(marked_text: Column) -> Column:
+    """``array<struct<start,end,head,body,tail>>`` of a marked text: 0-based, end-exclusive offsets."""
     def build(parts: Column) -> Column:
         def span(i: Column) -> Column:
             # i parts come before part i; every second one is a match and carries two inner markers
@@ -45,9 +48,12 @@ def find_spans(text: Column, pattern: str | Column, last_group: int = 3) -> Colu
                     F.get(m["groups"], F.lit(1)).alias("body"),
                     F.get(m["groups"], F.lit(2)).alias("tail")))
         return F.transform(F.sequence(F.lit(1), F.size(parts) - 1, F.lit(2)), span)
+    return F.when(marked_text.isNull(), empty_array(SPAN)).otherwise(let(F.split(marked_text, _EDGE), build))
+
 
-    found = let(F.split(F.regexp_replace(text, regex, F.lit(replacement)), _EDGE), build)
-    return F.when(F.rlike(text, regex), found).otherwise(empty_array(SPAN))
+def find_spans(text: Column, pattern: str | Column, groups: bool = True) -> Column:
+    """Matches of one pattern with their offsets."""
+    return let(marked(text, pattern, groups), spans_in)
 
 
 def splice(text: Column, spans: Column, replacement: Callable[[Column], Column]) -> Column:
