@@ -19,11 +19,16 @@ def rule_body(text: Column, title: Column) -> Column:
         return F.struct(F.when(named, F.substring(t, at + F.length(title), F.length(t))).otherwise(t).alias("body"),
                         F.when(named, 0).otherwise(P.FOOTER_FROM_WITHOUT_TITLE).alias("first"))
 
+    def cut_footer(body: Column, footer: str, first: Column) -> Column:
+        def cut(b: Column) -> Column:
+            at = F.instr(b, F.lit(footer))  # 1-based, 0 when absent
+            return F.when(at > first, F.substring(b, F.lit(1), at - 1)).otherwise(b)
+        return let(body, cut)
+
     def cut_footers(s: Column) -> Column:
         body = F.regexp_replace(strip(s["body"]), P.PAGE_TABS, "")
         for footer in P.PAGE_FOOTERS:
-            body = let(body, lambda b, footer=footer: F.when(
-                F.instr(b, F.lit(footer)) > s["first"], F.substring(b, F.lit(1), F.instr(b, F.lit(footer)) - 1)).otherwise(b))
+            body = cut_footer(body, footer, s["first"])
         return body
 
     def cut_history(b: Column) -> Column:

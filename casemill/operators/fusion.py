@@ -111,7 +111,7 @@ def hybrid_rules(scores: DataFrame, chunks: DataFrame, queries: DataFrame, query
     counts = matched.groupBy(query_id).agg(F.max("rank").alias("found"))
     short = depths.join(counts, query_id, "left").withColumn("found", F.coalesce("found", F.lit(0))).filter("found < depth")
     early = short.select(query_id, "depth", "found", F.explode(F.sequence(
-        F.lit(0), F.least(F.lit(n), 2 * F.col("depth")) - 1)).cast("bigint").alias("chunk_id"))
+        F.lit(0).cast("bigint"), F.least(F.lit(n), 2 * F.col("depth")).cast("bigint") - 1)).alias("chunk_id"))
     free = best_per_key(early.join(scores.select(query_id, "chunk_id"), [query_id, "chunk_id"], "left_anti"),
                         [query_id], [F.col("chunk_id").asc()], 2 * deepest, rank="_nth").filter("_nth <= depth - found")
     candidates = written(near.unionByName(matched.select(query_id, "chunk_id"))

@@ -81,9 +81,9 @@ _PAGES = f"""pages_ AS (SELECT doc_id, CAST(1000 + doc_id % 9000 AS VARCHAR) AS
   bodies AS (SELECT doc_id, rule_no, title, trim(substr(t, 1, cut - 1)) AS body,
     list_filter(regexp_split_to_array(trim(substr(t, 1, cut - 1)), '{_WS}'), lambda x: x <> '') AS w FROM footers),
   indexed AS (SELECT * FROM bodies WHERE len(w) >= 8 AND NOT regexp_full_match(rule_no, '0100|\\d000')),
-  parts AS (SELECT doc_id, rule_no, title, body, w, unnest(CASE WHEN len(w) <= 250 THEN [0] ELSE range(0, greatest(1, len(w) - 40), 210) END) AS at FROM indexed),
-  chunks AS (SELECT row_number() OVER (ORDER BY doc_id, at) - 1 AS chunk_id, doc_id, rule_no, title, CAST(at // 210 AS INTEGER) AS part,
-    CASE WHEN len(w) <= 250 THEN body ELSE array_to_string(w[at + 1 : at + 250], ' ') END AS text FROM parts)"""
+  parts AS (SELECT doc_id, rule_no, title, body, w, unnest(CASE WHEN len(w) <= 250 THEN [0] ELSE range(0, greatest(1, len(w) - 40), 210) END) AS off FROM indexed),
+  chunks AS (SELECT row_number() OVER (ORDER BY doc_id, off) - 1 AS chunk_id, doc_id, rule_no, title, CAST(off // 210 AS INTEGER) AS part,
+    CASE WHEN len(w) <= 250 THEN body ELSE array_to_string(w[off + 1 : off + 250], ' ') END AS text FROM parts)"""
 
 
 @query("WITH " + _PAGES + " SELECT chunk_id, rule_no, title, part, text FROM chunks")
