@@ -1,9 +1,9 @@
 """Registered queries: name -> (function of (spark, folder), equivalent SQL or None)."""
 
-from casemill.queries import labels, metrics, pages, retrieval, text
+from casemill.queries import answers, labels, learning, metrics, pages, retrieval, text
 
 ALL: dict = {}
-for _module in (labels, metrics, text, pages, retrieval):
+for _module in (labels, metrics, text, pages, retrieval, learning, answers):
     for _name, _entry in _module.QUERIES.items():
         if _name in ALL:
             raise ValueError(f"query {_name} registered twice")

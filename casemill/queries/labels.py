@@ -11,7 +11,7 @@ from casemill.operators import metrics as M
 from casemill.operators import ordering as O
 from casemill.queries import derived as D
 from casemill.sources.tables import add_column_default, append_runs, load_evolved, not_yet_run
-from casemill.sources.session import shared_folder
+from casemill.sources.session import scratch_path
 
 QUERIES: dict = {}
 
@@ -208,7 +208,7 @@ def label_profile(spark, d):
 def appended_runs(spark, d):
     """Runs stored in two overlapping batches: each key is stored once."""
     runs = D.table(spark, d, "events").groupBy("user_id", "event_type").agg(F.count("*").alias("n"))
-    path = f"{shared_folder(spark)}/runs-{spark.sparkContext.applicationId}-{id(runs)}"
+    path = scratch_path(spark, "runs")
     append_runs(runs.filter("n >= 2"), path, ["user_id", "event_type"])
     append_runs(runs, path, ["user_id", "event_type"])
     return add_column_default(spark.read.parquet(path), "answer_prompt", "v1")
@@ -218,7 +218,7 @@ def appended_runs(spark, d):
 def column_default(spark, d):
     """Files written before a column existed read with its default."""
     orders = D.table(spark, d, "orders", "o_orderkey", "o_orderstatus", "o_orderpriority")
-    path = f"{shared_folder(spark)}/evolved-{spark.sparkContext.applicationId}-{id(orders)}"
+    path = scratch_path(spark, "evolved")
     orders.filter("o_orderstatus = 'F'").drop("o_orderpriority").write.parquet(path)
     orders.filter("o_orderstatus <> 'F'").withColumnRenamed("o_orderpriority", "answer_prompt").write.mode("append").parquet(path)
     return load_evolved(spark, path, "answer_prompt", "v1")

@@ -33,12 +33,17 @@ def shared_folder(spark: SparkSession) -> str:
     return folder
 
 
+def scratch_path(spark: SparkSession, name: str) -> str:
+    """A new path in the shared folder."""
+    return f"{shared_folder(spark)}/casemill-{name}-{uuid.uuid4().hex}"
+
+
 def written(df: DataFrame) -> DataFrame:
     """The rows as a table in the shared folder, computed once and read back by every later step.
 
     Lost executors re-read the files instead of repeating the work, and the files' sizes let Spark choose
     between broadcast and shuffle joins from facts.
     """
-    path = f"{shared_folder(df.sparkSession)}/casemill-{uuid.uuid4().hex}"
+    path = scratch_path(df.sparkSession, "rows")
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
