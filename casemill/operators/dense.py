@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from casemill import constants as C
 from casemill.operators.ordering import best_per_key
+from casemill.sources.session import written
 
 DIGITS = 9  # scores are rounded here before ranking, so equal vectors tie wherever they are computed
 BLOCK_BYTES = 32 << 20
@@ -22,24 +23,32 @@ def normalised(vector: Column) -> Column:
     return F.transform(vector, lambda x: x.cast("double") / length)
 
 
-def query_blocks(queries: DataFrame, query_id: str, vector: str, block_bytes: int = BLOCK_BYTES) -> list:
-    """Query ids and unit vectors in blocks of bounded size, as broadcast variables.
+def query_blocks(queries: DataFrame, query_id: str, vector: str, carried_rows: int = 0,
+                 block_bytes: int = BLOCK_BYTES) -> Iterator[tuple]:
+    """Query ids and unit vectors in blocks of bounded size, one block on the driver at a time.
 
-    Each block goes to every task; more queries make more passes over the chunks, never a larger broadcast.
+    A block goes to every task of one pass over the chunks; more queries (or more vectors carried along with
+    them) make more passes, never a larger broadcast. Yields (block, whether it is the only one).
     """
-    spark = queries.sparkSession
     rows = queries.select(F.col(query_id).alias("q"), F.col(vector).alias("v"))
     n, width = rows.agg(F.count("*"), F.max(F.size("v"))).first()
     if not n:
-        return []
-    parts = -(-n * width * 8 // block_bytes)
-    blocks = []
+        return
+    parts = -(-(n + carried_rows) * width * 8 // block_bytes)
     for part in range(parts):
         own = rows.filter(F.pmod(F.xxhash64("q"), F.lit(parts)) == part).toPandas().sort_values("q")
         if len(own):
             m = np.stack(own["v"].to_numpy()).astype(np.float64)
-            blocks.append(spark.sparkContext.broadcast((own["q"].to_numpy(), m / np.linalg.norm(m, axis=1, keepdims=True))))
-    return blocks
+            yield (own["q"].to_numpy(), m / np.linalg.norm(m, axis=1, keepdims=True)), parts == 1
+
+
+def per_block(queries: DataFrame, query_id: str, vector: str, run, schema: str, carried_rows: int = 0) -> DataFrame:
+    """The union of ``run(block)`` over all query blocks; with several, each is finished before the next is read."""
+    spark, out = queries.sparkSession, None
+    for block, only in query_blocks(queries, query_id, vector, carried_rows):
+        found = run(block) if only else written(run(block))
+        out = found if out is None else out.unionByName(found)
+    return spark.createDataFrame([], schema) if out is None else out
 
 
 def _unit(vectors: pd.Series) -> np.ndarray:
@@ -60,15 +69,17 @@ def nearest(chunks: DataFrame, queries: DataFrame, chunk_id: str, query_id: str,
 
     Every chunk is scored. A task emits at most k rows per query, and only those are shuffled.
     """
-    group_col = group or chunk_id
+    spark, group_col = chunks.sparkSession, group or chunk_id
     types = {f.name: f.dataType.simpleString() for f in chunks.schema.fields}
     q_type = {f.name: f.dataType.simpleString() for f in queries.schema.fields}[query_id]
     rows = chunks.select(F.col(chunk_id).alias("id"), F.col(group_col).alias("g"), F.col(vector).alias("v"))
     schema = f"q {q_type}, id {types[chunk_id]}, g {types[group_col]}, score double"
 
-    def search(block):
+    def search(block) -> DataFrame:
+        shared = spark.sparkContext.broadcast(block)
+
         def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-            names, matrix = block.value
+            names, matrix = shared.value
             kept: list = [None] * len(names)
             for batch in batches:
                 if not len(batch):
@@ -86,13 +97,7 @@ def nearest(chunks: DataFrame, queries: DataFrame, chunk_id: str, query_id: str,
                     yield pd.DataFrame({"q": name, "id": best[1], "g": best[2], "score": best[0]})
         return rows.mapInPandas(run, schema)
 
-    blocks = query_blocks(queries, query_id, vector)
-    if not blocks:
-        found = chunks.sparkSession.createDataFrame([], schema)
-    else:
-        found = search(blocks[0])
-        for b in blocks[1:]:
-            found = found.unionByName(search(b))
+    found = per_block(queries, query_id, vector, search, schema)
     by_score = [F.col("score").desc(), F.col("id").asc()]
     if group:
         found = best_per_key(found, ["q", "g"], by_score)
@@ -115,10 +120,20 @@ def better_counts(chunks: DataFrame, queries: DataFrame, candidates: DataFrame,
     wanted = candidates.select(F.col(query_id).alias("q"), F.col(chunk_id).alias("id"))
     schema = f"q {q_type}, id {types[chunk_id]}, better bigint"
 
-    def count(block, listed):
+    def count(block) -> DataFrame:
+        names, matrix = block
+        own = wanted.join(spark.createDataFrame(pd.DataFrame({"q": names}), f"q {q_type}"), "q", "left_semi")
+        vectors = own.join(rows, "id").toPandas()  # bounded: the block counts these rows too
+        at = {name: j for j, name in enumerate(names)}
+        per_query = {}
+        for name, part in vectors.groupby("q"):
+            s = np.round(_unit(part["v"]) @ matrix[at[name]], DIGITS)
+            order = np.lexsort((part["id"].to_numpy(), -s))
+            per_query[name] = (part["id"].to_numpy()[order], s[order])
+        shared = spark.sparkContext.broadcast((names, matrix, per_query))
+
         def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-            names, matrix = block.value
-            per_query = listed.value
+            names, matrix, per_query = shared.value
             totals = {name: np.zeros(len(per_query[name][0]) + 1, dtype=np.int64) for name in names if name in per_query}
             for batch in batches:
                 if not len(batch):
@@ -134,21 +149,7 @@ def better_counts(chunks: DataFrame, queries: DataFrame, candidates: DataFrame,
                 yield pd.DataFrame({"q": name, "id": per_query[name][0], "better": np.cumsum(total)[:-1]})
         return rows.mapInPandas(run, schema)
 
-    out = None
-    for block in query_blocks(queries, query_id, vector):
-        names, matrix = block.value
-        own = wanted.join(spark.createDataFrame(pd.DataFrame({"q": names}), f"q {q_type}"), "q", "left_semi")
-        vectors = own.join(chunks.select(F.col(chunk_id).alias("id"), F.col(vector).alias("v")), "id").toPandas()
-        at = {name: j for j, name in enumerate(names)}
-        per_query = {}
-        for name, part in vectors.groupby("q"):
-            s = np.round(_unit(part["v"]) @ matrix[at[name]], DIGITS)
-            order = np.lexsort((part["id"].to_numpy(), -s))
-            per_query[name] = (part["id"].to_numpy()[order], s[order])
-        counted = count(block, spark.sparkContext.broadcast(per_query))
-        out = counted if out is None else out.unionByName(counted)
-    if out is None:
-        out = spark.createDataFrame([], schema)
+    out = per_block(queries, query_id, vector, count, schema, carried_rows=candidates.count())
     ranks = out.groupBy("q", "id").agg(F.sum("better").alias("better"))
     return ranks.select(F.col("q").alias(query_id), F.col("id").alias(chunk_id), (F.col("better") + 1).alias("rank"))
 
@@ -166,3 +167,26 @@ def _slots(cand_scores: np.ndarray, cand_ids: np.ndarray, scores: np.ndarray, id
             p += 1
         slot[r] = p
     return slot
+
+
+def all_scores(chunks: DataFrame, queries: DataFrame, chunk_id: str, query_id: str, vector: str = "embedding") -> DataFrame:
+    """(query_id, chunk_id, score) of every chunk for every query: only for queries that need whole rankings."""
+    spark = chunks.sparkSession
+    types = {f.name: f.dataType.simpleString() for f in chunks.schema.fields}
+    q_type = {f.name: f.dataType.simpleString() for f in queries.schema.fields}[query_id]
+    rows = chunks.select(F.col(chunk_id).alias("id"), F.col(vector).alias("v"))
+    schema = f"q {q_type}, id {types[chunk_id]}, score double"
+
+    def score(block) -> DataFrame:
+        shared = spark.sparkContext.broadcast(block)
+
+        def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+            names, matrix = shared.value
+            for batch in batches:
+                if len(batch):
+                    scores = np.round(_unit(batch["v"]) @ matrix.T, DIGITS)
+                    for j, name in enumerate(names):
+                        yield pd.DataFrame({"q": name, "id": batch["id"].to_numpy(), "score": scores[:, j]})
+        return rows.mapInPandas(run, schema)
+    return per_block(queries, query_id, vector, score, schema).select(
+        F.col("q").alias(query_id), F.col("id").alias(chunk_id), "score")

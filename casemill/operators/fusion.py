@@ -10,7 +10,7 @@ from casemill.functions import rules as R
 from casemill.functions.arrays import words
 from casemill.operators import dense
 from casemill.operators.metrics import value_shares
-from casemill.operators.ordering import best_per_key, length_thirds
+from casemill.operators.ordering import best_per_key, global_row_number, length_thirds
 from casemill.sources.session import written
 
 
@@ -83,25 +83,59 @@ def _bm25_ranks(scores: DataFrame, candidates: DataFrame, query_id: str) -> Data
     return ranked.select(query_id, F.inline(F.concat(of_matched, of_unmatched)))
 
 
+def _whole_ranks(scores: DataFrame, chunks: DataFrame, queries: DataFrame, query_id: str) -> DataFrame:
+    """(query_id, chunk_id, w, d): both ranks of every chunk.
+
+    One range-partitioned sort over all queries numbers the rows, so a query's whole ranking is never one task.
+    """
+    pairs = dense.all_scores(chunks, queries, "chunk_id", query_id).withColumnRenamed("score", "ds")
+    words_too = pairs.join(scores.withColumnRenamed("score", "ws"), [query_id, "chunk_id"], "left").fillna(0.0, ["ws"])
+    both = written(words_too.select(query_id, "chunk_id", "ds", "ws"))
+
+    def ranked(score: str, name: str) -> DataFrame:
+        rows = global_row_number(both.select(query_id, "chunk_id", score), [F.col(query_id), F.col(score).desc(), F.col("chunk_id")], "_n")
+        first = rows.groupBy(query_id).agg(F.min("_n").alias("_first"))
+        return rows.join(first, query_id).select(query_id, "chunk_id", (F.col("_n") - F.col("_first") + 1).alias(name))
+    return ranked("ws", "w").join(ranked("ds", "d"), [query_id, "chunk_id"])
+
+
 def hybrid_rules(scores: DataFrame, chunks: DataFrame, queries: DataFrame, query_id: str, k: int = C.TOP_K,
-                 conduct_only: bool = False, rrf_k: int = C.RRF_K) -> DataFrame:
+                 conduct_only: bool = False, rrf_k: int = C.RRF_K, max_depth: int = 1000) -> DataFrame:
     """The k best rules per query by 1/(rrf_k + BM25 rank) + 1/(rrf_k + dense rank) over the full rankings.
 
     Only chunks near the top of one ranking can win. If the k-th rule of the dense list stands at rank R, k
     rules score at least 1/(rrf_k + R), while a chunk beyond depth rrf_k + 2R in both rankings scores less. So
     the chunks within that depth of either ranking are the candidates, their exact ranks are counted, and the
-    result equals fusing the full rankings without ever building them. ``chunk_id`` must run from 0 in order.
+    result equals fusing the full rankings without building them. Where that depth exceeds ``max_depth`` (one
+    rule's chunks fill the top of the list), the query's whole rankings are fused instead, as a distributed
+    sort. ``chunk_id`` must run from 0 in order.
     """
     n = chunks.count()
     listed = dense_rules(chunks, queries, query_id, k, conduct_only)
-    last = listed.groupBy(query_id).agg(F.max("rank").alias("found"), F.max_by("chunk_id", "rank").alias("chunk_id"))
+    last = written(listed.groupBy(query_id).agg(F.max("rank").alias("found"), F.max_by("chunk_id", "rank").alias("chunk_id")))
     last_rank = dense.better_counts(chunks, queries, last, "chunk_id", query_id)
     depth = F.when(F.col("found") < k, n).otherwise(F.least(F.lit(n), rrf_k + 2 * F.col("rank")))
-    depths = written(last.join(last_rank, [query_id, "chunk_id"]).select(query_id, depth.cast("int").alias("depth")))
-    deepest = depths.agg(F.max("depth")).first()[0]
-    if deepest is None:
+    every = written(last.join(last_rank, [query_id, "chunk_id"]).select(query_id, depth.cast("int").alias("depth")))
+    depths = every.filter(F.col("depth") <= max_depth)
+    deepest, n_deep = every.agg(F.max(F.when(F.col("depth") <= max_depth, F.col("depth"))), F.count_if(F.col("depth") > max_depth)).first()
+    parts = []
+    if deepest is not None:
+        parts.append(_near_ranks(scores, chunks, queries.join(depths, query_id, "left_semi"), depths, deepest, n, query_id))
+    if n_deep:
+        deep = every.filter(F.col("depth") > max_depth)
+        parts.append(_whole_ranks(scores.join(deep.select(query_id), query_id, "left_semi"), chunks, queries.join(deep, query_id, "left_semi"), query_id))
+    if not parts:
         return listed.select(query_id, "chunk_id", "rule", "score", "rank")
+    both = parts[0] if len(parts) == 1 else parts[0].unionByName(parts[1])
+    fused = F.round(1 / (rrf_k + F.col("w")) + 1 / (rrf_k + F.col("d")), 12)
+    book = searchable(chunks, conduct_only).select("chunk_id", R.base_rule(F.col("rule_no")).alias("rule"))
+    scored = both.join(book, "chunk_id").withColumn("score", fused)
+    return _top_rules(scored, query_id, k).select(query_id, "chunk_id", "rule", "score", "rank")
 
+
+def _near_ranks(scores: DataFrame, chunks: DataFrame, queries: DataFrame, depths: DataFrame, deepest: int, n: int,
+                query_id: str) -> DataFrame:
+    """(query_id, chunk_id, w, d): both exact ranks of the chunks within a query's depth of either ranking."""
     near = dense.nearest(chunks, queries, "chunk_id", query_id, deepest)
     near = near.join(depths, query_id).filter("rank <= depth").select(query_id, "chunk_id")
     by_score = [F.col("score").desc(), F.col("chunk_id").asc()]
@@ -119,11 +153,7 @@ def hybrid_rules(scores: DataFrame, chunks: DataFrame, queries: DataFrame, query
 
     dense_rank = dense.better_counts(chunks, queries, candidates, "chunk_id", query_id)
     word_rank = _bm25_ranks(scores, candidates, query_id)
-    fused = F.round(1 / (rrf_k + F.col("w")) + 1 / (rrf_k + F.col("d")), 12)
-    both = word_rank.withColumnRenamed("rank", "w").join(dense_rank.withColumnRenamed("rank", "d"), [query_id, "chunk_id"])
-    book = searchable(chunks, conduct_only).select("chunk_id", R.base_rule(F.col("rule_no")).alias("rule"))
-    scored = both.join(book, "chunk_id").withColumn("score", fused)
-    return _top_rules(scored, query_id, k).select(query_id, "chunk_id", "rule", "score", "rank")
+    return word_rank.withColumnRenamed("rank", "w").join(dense_rank.withColumnRenamed("rank", "d"), [query_id, "chunk_id"])
 
 
 def retrieval_hits(ranked: DataFrame, gold: DataFrame, query_id: str) -> DataFrame:

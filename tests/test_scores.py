@@ -126,8 +126,10 @@ def test_rankings_match_brute_force(spark, conduct, k):
     scores = index.scores(queries, "q", F.col("text"))
     lists = {"bm25": fusion.top_rules(scores, book, queries, "q", k, conduct), "dense": fusion.dense_rules(book, queries, "q", k, conduct),
              "hybrid": fusion.hybrid_rules(scores, book, queries, "q", k, conduct)}
-    for name, df in lists.items():
-        got = {}
+    # the path of queries whose top is filled by one rule
+    lists["whole"] = fusion.hybrid_rules(scores, book, queries, "q", k, conduct, max_depth=0)
+    for key, df in lists.items():
+        got, name = {}, "hybrid" if key == "whole" else key
         for r in df.orderBy("q", "rank").collect():
             got.setdefault((name, r.q), []).append((r.rule, r.chunk_id))
         assert got == {key: v for key, v in want.items() if key[0] == name}
@@ -136,7 +138,7 @@ def test_rankings_match_brute_force(spark, conduct, k):
 def test_query_blocks_change_nothing(spark, monkeypatch):
     book, queries, *_ = _book(spark)
     one = sorted(dense.nearest(book, queries, "chunk_id", "q").collect())
-    monkeypatch.setattr(dense.query_blocks, "__defaults__", (50,))
+    monkeypatch.setattr(dense.query_blocks, "__defaults__", (0, 50))
     assert sorted(dense.nearest(book, queries, "chunk_id", "q").collect()) == one
 
 
