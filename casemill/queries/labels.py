@@ -10,8 +10,10 @@ from casemill.operators import labels as L
 from casemill.operators import metrics as M
 from casemill.operators import ordering as O
 from casemill.queries import derived as D
-from casemill.sources.tables import add_column_default, append_runs, load_evolved, not_yet_run
+from casemill.schemas import OCR_LABELS
 from casemill.sources.session import scratch_path
+from casemill.sources.tables import (add_column_default, append_runs, load_evolved, load_table, not_yet_run,
+                                     optional_table, replace_table)
 
 QUERIES: dict = {}
 
@@ -323,3 +325,26 @@ def monthly_with_documents(spark, d):
         "case_no", "section", "action_date", "report_month", "summary_rules", "doc_rules")
 
 
+
+
+@query("SELECT o_orderkey, o_totalprice FROM orders WHERE o_orderstatus IN ('F', 'P')")
+def filtered_scan(spark, d):
+    return load_table(spark, f"{d}/orders.parquet", F.col("o_orderstatus").isin("F", "P"), ["o_orderkey", "o_totalprice"])
+
+
+@query("SELECT o_orderkey, o_totalprice FROM orders WHERE o_orderstatus = 'F'")
+def replaced_table(spark, d):
+    """A table replaced by a second run and read by partition."""
+    orders = D.table(spark, d, "orders", "o_orderkey", "o_totalprice", "o_orderstatus")
+    path = scratch_path(spark, "replaced")
+    replace_table(orders.filter("o_orderstatus = 'P'"), path, ["o_orderstatus"])
+    replace_table(orders, path, ["o_orderstatus"])
+    return load_table(spark, path, F.col("o_orderstatus") == "F", ["o_orderkey", "o_totalprice"])
+
+
+@query("WITH " + D.CASES + """ SELECT case_no, CASE WHEN doc_rules <> '' THEN doc_rules ELSE summary_rules END AS rules,
+  CASE WHEN doc_rules <> '' THEN 'document' WHEN summary_rules <> '' THEN 'summary' END AS label_source FROM cases""")
+def labels_without_ocr(spark, d):
+    """The OCR table does not exist yet and reads as empty."""
+    cases = D.cases(spark, d)
+    return L.case_labels(cases, cases, optional_table(spark, scratch_path(spark, "absent"), OCR_LABELS))

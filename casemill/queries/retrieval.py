@@ -6,7 +6,9 @@ from pyspark.sql import functions as F
 
 from casemill.constants import STOP_WORDS
 from casemill.functions import rulebook as RB
+from casemill.functions.arrays import words
 from casemill.operators import bm25, chunks as CH, documents as DO, fusion as FU, ordering as O
+from casemill.operators.dense import nearest
 from casemill.operators.documents import titles_in_text
 from casemill.queries import derived as D
 from casemill.sources.session import written
@@ -105,7 +107,6 @@ def index_summary(spark, d):
 @query("""SELECT doc_id, CASE WHEN n <= 250 THEN 1 ELSE len(range(0, greatest(1, n - 40), 210)) END AS windows, n AS words FROM
   (SELECT doc_id, len(list_filter(regexp_split_to_array(text, '""" + _WS + """'), lambda x: x <> '')) AS n FROM documents)""")
 def word_windows(spark, d):
-    from casemill.functions.arrays import words
     return D.spread_table(spark, d, "documents", "doc_id").select(
         "doc_id", F.size(RB.word_windows(F.col("text"))).alias("windows"), F.size(words(F.col("text"))).alias("words"))
 
@@ -150,7 +151,6 @@ _BOTH = _search_sql("SELECT chunk_id AS id, text FROM vchunks", "SELECT item_id
 @query("WITH " + _VEC + """ SELECT item_id, chunk_id, round(score, 6) AS score, r AS rank FROM (SELECT *, row_number() OVER (PARTITION BY item_id
   ORDER BY score DESC, chunk_id) AS r FROM dense) WHERE r <= 5""")
 def dense_topk(spark, d):
-    from casemill.operators.dense import nearest
     return nearest(_vector_chunks(spark, d), _searches(spark, d), "chunk_id", "item_id").withColumn("score", D.r6("score"))
 
 
@@ -242,17 +242,17 @@ def excerpt_texts(spark, d):
 
 # --- rule titles in texts ------------------------------------------------------------------------------------
 
-@query("""SELECT doc_id, title FROM documents d, (SELECT DISTINCT lower(substr(text, 1, 12)) AS title FROM benchmark) t WHERE contains(lower(d.text), title)""")
+@query("""SELECT doc_id, title FROM documents d, (SELECT DISTINCT lower(text) AS title FROM benchmark) t WHERE contains(lower(d.text), title)""")
 def titles_in_texts(spark, d):
     texts = D.spread_table(spark, d, "documents", "doc_id").select("doc_id", F.lower("text").alias("t"))
-    titles = D.table(spark, d, "benchmark").select(F.lower(F.substring("text", 1, 12)).alias("title"))
+    titles = D.table(spark, d, "benchmark").select(F.lower("text").alias("title"))
     return titles_in_text(texts, titles, "t", "title", ["doc_id"])
 
 
-@query("""SELECT doc_id, title FROM documents d, (SELECT DISTINCT lower(substr(text, 1, 14)) AS title FROM benchmark) t WHERE length(title) >= 12 AND contains(lower(d.text), title)""")
+@query("""SELECT doc_id, title FROM documents d, (SELECT DISTINCT lower(text) AS title FROM benchmark) t WHERE length(title) >= 12 AND contains(lower(d.text), title)""")
 def title_leaks(spark, d):
     texts = D.spread_table(spark, d, "documents", "doc_id").select("doc_id", "text")
-    return DO.title_leaks(texts, D.table(spark, d, "benchmark").select(F.substring("text", 1, 14).alias("title")), "text", "title", ["doc_id"])
+    return DO.title_leaks(texts, D.table(spark, d, "benchmark").select(F.col("text").alias("title")), "text", "title", ["doc_id"])
 
 
 def _titled(spark, d):
