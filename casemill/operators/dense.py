@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
+import sys
 from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+from pyspark import cloudpickle
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -13,6 +15,9 @@ from casemill import constants as C
 from casemill.operators.ordering import best_per_key
 from casemill.sources.session import written
 
+# tasks carry these helpers with them, so executors need no copy of the package
+cloudpickle.register_pickle_by_value(sys.modules[__name__])
+
 DIGITS = 9  # scores are rounded here before ranking, so equal vectors tie wherever they are computed
 BLOCK_BYTES = 32 << 20
 
