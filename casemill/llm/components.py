@@ -26,7 +26,7 @@ def components(edges: DataFrame) -> DataFrame:
         if roots is None:
             roots = hooks
         else:
-            moved = roots.join(hooks.withColumnRenamed("node", "root").withColumnRenamed("root", "next"), "root", "left")
+            moved = roots.join(hooks.select(F.col("node").alias("root"), F.col("root").alias("next")), "root", "left")
             roots = written(moved.select("node", F.coalesce("next", "root").alias("root")))
         a = hooks.select(F.col("node").alias("a"), F.col("root").alias("ra"))
         b = hooks.select(F.col("node").alias("b"), F.col("root").alias("rb"))

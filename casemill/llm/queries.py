@@ -7,7 +7,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from casemill.llm import packing, quality, simhash, subword
+from casemill.llm import packing, ppm, quality, simhash, subword, unigram, urlrules, vectors, wrappers
 
 
 def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
@@ -19,14 +19,75 @@ def remainder(by: int) -> Column:
     return F.crc32(F.col("doc_id").cast("string")) % by
 
 
+def op1_main_text(spark: SparkSession, folder: str) -> DataFrame:
+    return wrappers.extract(table(spark, folder, "pages"))
+
+
+#: The pages of the test tables have one article each, plain block tags and five character references.
+OP1_SQL = r"""
+WITH a AS (SELECT page_id, url, regexp_extract(coalesce(html, ''), '(?s)<article>(.*?)(?:</article>|$)', 1) AS h FROM pages),
+b AS (SELECT page_id, url, list_transform(regexp_split_to_array(regexp_replace(h, '</?b>', '', 'g'), '</?(?:h1|p|br)>'),
+  x -> trim(regexp_replace(replace(replace(replace(replace(replace(x, '&lt;', '<'), '&gt;', '>'), '&quot;', '"'), '&#x27;', chr(39)), '&amp;', '&'), '\s+', ' ', 'g'))) AS parts FROM a),
+t AS (SELECT page_id, url, array_to_string(list_filter(parts, x -> x <> ''), ' ') AS text FROM b)
+SELECT page_id, url, text, length(text)::BIGINT AS n_chars FROM t
+"""
+
+
+RULES = (("net", "/", "block"), ("example.net", "/en/", "allow"), ("example.com", "/de/", "block"), ("org", "/fr/", "allow"))
+
+
+def op2_url_rules(spark: SparkSession, folder: str) -> DataFrame:
+    rules = spark.createDataFrame(RULES, "host string, path string, action string")
+    return urlrules.judge(table(spark, folder, "pages"), rules)
+
+
+OP2_SQL = r"""
+WITH r AS (SELECT page_id, CASE WHEN contains(url, '://') THEN substr(url, strpos(url, '://') + 3) ELSE '' END AS rest FROM pages),
+h AS (SELECT page_id, regexp_extract(coalesce(rest, ''), '^[^/?#]*') AS raw, coalesce(rest, '') AS rest FROM r),
+u AS (SELECT page_id, translate(raw, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS host,
+  regexp_extract(substr(rest, length(raw) + 1), '^[^?#]*') AS path FROM h),
+rules(rule_host, rule_path, action) AS (VALUES ('net', '/', 'block'), ('example.net', '/en/', 'allow'), ('example.com', '/de/', 'block'), ('org', '/fr/', 'allow')),
+m AS (SELECT page_id, host, path,
+  (SELECT rule_host || rule_path FROM rules WHERE ends_with('.' || host, '.' || rule_host) AND starts_with(path, rule_path)
+   ORDER BY length(rule_host || rule_path) DESC LIMIT 1) AS rule FROM u)
+SELECT page_id, host, path, rule, coalesce((SELECT action FROM rules WHERE rule_host || rule_path = rule), 'allow') AS verdict FROM m
+"""
+
+
+def op3_ppm(spark: SparkSession, folder: str) -> DataFrame:
+    scored = ppm.scores(table(spark, folder, "documents"), remainder(7) != 2)
+    return scored.withColumn("held_out", F.coalesce(remainder(7) == 2, F.lit(False)))
+
+
 def op4_packing(spark: SparkSession, folder: str) -> DataFrame:
     return packing.pack(table(spark, folder, "documents"), public_tokenizers.path("byte_bpe_50k.json"))
 
 
+def op5_pieces(spark: SparkSession, folder: str) -> DataFrame:
+    return unigram.encode(table(spark, folder, "documents"), unigram.vocabulary(public_tokenizers.path("piece_bpe_32k.model")))
+
+
 def op6_simhash(spark: SparkSession, folder: str) -> DataFrame:
     return simhash.near_duplicates(table(spark, folder, "documents"))
 
 
+def op7_vectors(spark: SparkSession, folder: str) -> DataFrame:
+    return vectors.near_duplicates(table(spark, folder, "embeddings"), 0.93)
+
+
+OP7_SQL = r"""
+WITH RECURSIVE v AS (SELECT vec_id, label, embedding::DOUBLE[] AS e FROM embeddings),
+g AS (SELECT * FROM v WHERE label IS NOT NULL AND e IS NOT NULL AND len(list_filter(e, x -> x IS NULL OR NOT isfinite(x))) = 0
+  AND len(list_filter(e, x -> x <> 0)) > 0),
+l AS (SELECT a.vec_id AS a, b.vec_id AS b FROM g a JOIN g b ON a.label = b.label AND a.vec_id <> b.vec_id
+  WHERE list_dot_product(a.e, b.e) / (sqrt(list_dot_product(a.e, a.e)) * sqrt(list_dot_product(b.e, b.e))) >= 0.93),
+r(a, b) AS (SELECT vec_id, vec_id FROM v UNION SELECT r.a, l.b FROM r JOIN l ON r.b = l.a),
+c AS (SELECT a AS vec_id, min(b) AS component_id FROM r GROUP BY a),
+n AS (SELECT a AS vec_id, count(*) AS n FROM l GROUP BY a)
+SELECT vec_id, coalesce(n, 0)::BIGINT AS n_links, component_id, vec_id = component_id AS kept FROM c LEFT JOIN n USING (vec_id)
+"""
+
+
 def op8_quality(spark: SparkSession, folder: str) -> DataFrame:
     docs = table(spark, folder, "documents")
     model = subword.train(docs, table(spark, folder, "labels"), remainder(5) != 0)
@@ -47,12 +108,12 @@ w AS (SELECT doc_id, text, regexp_extract_all(text, '[^\x20\x09-\x0D]+') AS word
 s AS (SELECT *, [words[i] || ' ' || words[i + 1] || ' ' || words[i + 2] for i in range(1, len(words) - 1)] AS windows FROM w),
 c AS (SELECT *, list_sort(windows) AS ordered FROM s),
 r AS (SELECT *, list_distinct([ordered[i] for i in range(2, len(ordered) + 1) if ordered[i] = ordered[i - 1]]) AS again FROM c),
-p AS (SELECT *, CASE WHEN len(again) = 0 THEN [] ELSE [i for i in range(1, len(windows) + 1) if list_contains(again, windows[i])] END AS at FROM r),
+p AS (SELECT *, CASE WHEN len(again) = 0 THEN [] ELSE [i for i in range(1, len(windows) + 1) if list_contains(again, windows[i])] END AS places FROM r),
 m AS (SELECT doc_id, len(words) AS n_words,
   length(array_to_string(words, '')) AS word_chars,
   length(text) - length(regexp_replace(text, '[#*$%&|<>]', '', 'g')) AS n_symbols,
   len(lines) - len(list_distinct(lines)) AS n_dup_lines, len(lines) AS n_lines,
-  len(list_distinct(flatten([[i, i + 1, i + 2] for i in at]))) AS n_repeat_words,
+  len(list_distinct(flatten([[i, i + 1, i + 2] for i in places]))) AS n_repeat_words,
   length(text) - length(regexp_replace(text, '\p{Lu}', '', 'g')) AS n_upper,
   length(text) - length(regexp_replace(text, '\p{L}', '', 'g')) AS n_letters FROM p),
 f AS (SELECT *, (n_words < 50)::BIGINT + 2 * (100 * n_repeat_words > 50 * n_words)::BIGINT
@@ -65,8 +126,13 @@ SELECT doc_id, n_words::BIGINT AS n_words, word_chars::BIGINT AS word_chars, n_s
 """
 
 QUERIES = {
+    "op1_main_text": (op1_main_text, OP1_SQL),
+    "op2_url_rules": (op2_url_rules, OP2_SQL),
+    "op3_ppm": (op3_ppm, None),
     "op4_packing": (op4_packing, None),
+    "op5_pieces": (op5_pieces, None),
     "op6_simhash": (op6_simhash, None),
+    "op7_vectors": (op7_vectors, OP7_SQL),
     "op8_quality": (op8_quality, None),
     "op10_rules": (op10_rules, OP10_SQL),
     "pipeline": (corpus_pipeline.run, corpus_pipeline.ORACLE_SQL),

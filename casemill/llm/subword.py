@@ -17,7 +17,7 @@ from operator import eq
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 SHORTEST, LONGEST = 3, 5
@@ -134,8 +134,8 @@ def fit(examples: list[tuple[np.ndarray, np.ndarray, int]], settings: Settings =
     return Model((vectors @ apart[:-1]).astype(np.float32), float(apart[-1]))
 
 
-def training_rows(docs: DataFrame, labels: DataFrame, where: F.Column, settings: Settings = Settings()) -> DataFrame:
-    """At most ``settings.sample`` labelled texts per class, as features: rows, shares, label.
+def training_rows(docs: DataFrame, labels: DataFrame, where: Column, settings: Settings = Settings()) -> DataFrame:
+    """At most ``settings.sample`` labelled texts per class, as features: rows and shares as bytes, label.
 
     ``where`` tells which labelled ids may be learned from. Ids come in hash order, which is the same on every
     cluster. Rows without an id, a text or a label of 0 or 1 are left out; a repeated id counts once per text,
@@ -152,17 +152,22 @@ def training_rows(docs: DataFrame, labels: DataFrame, where: F.Column, settings:
     def features(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
             parts = [text_features(t, settings.buckets) for t in pdf.text]
-            yield pd.DataFrame({"rows": [r for r, _ in parts], "shares": [s for _, s in parts], "label": pdf.label})
+            yield pd.DataFrame({"rows": [r.astype("<u4").tobytes() for r, _ in parts], "shares": [s.tobytes() for _, s in parts], "label": pdf.label})
 
-    return found[0].unionByName(found[1]).mapInPandas(features, "rows array<bigint>, shares array<float>, label int")
+    return found[0].unionByName(found[1]).mapInPandas(features, "rows binary, shares binary, label int")
 
 
-def train(docs: DataFrame, labels: DataFrame, where: F.Column, settings: Settings = Settings()) -> Model:
-    """The model from the bounded sample; the driver holds at most twice ``sample`` feature lists."""
-    pdf = training_rows(docs, labels, where, settings).toPandas()
-    rows = sorted(((np.asarray(r, np.int64), np.asarray(s, np.float32), int(y)) for r, s, y in pdf.itertuples(index=False)),
-                  key=lambda e: (e[2], len(e[0]), e[0].tobytes(), e[1].tobytes()))
-    return fit(rows, settings)
+def train(docs: DataFrame, labels: DataFrame, where: Column, settings: Settings = Settings()) -> Model:
+    """The model from the bounded sample. One task holds at most twice ``sample`` feature lists and fits them, in an
+    order that depends on their content alone; the driver gets the folded table and the bias."""
+    def fitted(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        rows = sorted((label, len(r), r, s) for pdf in batches for r, s, label in zip(pdf.rows, pdf.shares, pdf.label.tolist()))
+        model = fit([(np.frombuffer(r, "<u4").astype(np.int64), np.frombuffer(s, np.float32), y) for y, _, r, s in rows], settings)
+        yield pd.DataFrame({"folded": [model.folded.tobytes()], "bias": [model.bias]})
+
+    sample = training_rows(docs, labels, where, settings).repartition(1)
+    found = sample.mapInPandas(fitted, "folded binary, bias double").collect()
+    return Model(np.frombuffer(found[0].folded, np.float32), found[0].bias) if found else fit([], settings)
 
 
 def scorer(model: Model):
