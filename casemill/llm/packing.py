@@ -19,10 +19,12 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from casemill.llm.worker import kept
+
 WINDOW = 2048
 END = 1
 #: Spaced words kept with their ids in a worker; when full it starts anew, which changes no id.
-REMEMBERED = 400_000
+REMEMBERED = 1_000_000
 #: Rows of pieces handed on at once.
 HANDED_ON = 20_000
 
@@ -30,51 +32,78 @@ HANDED_ON = 20_000
 class Encoder:
     """Byte-level BPE ids of whole texts as little-endian bytes, four per id.
 
-    Between a character and a space that is followed by more text, pieces of the tokenizer's own word pattern never
-    meet, so such texts are cut there and each distinct part is encoded once. Other texts (double spaces, spaces at
-    ends or beside other white space, special tokens) are encoded whole.
+    The tokenizer's own word pattern never joins what stands before a space with what follows, if the space has text on
+    its right. So texts are cut at spaces, and each distinct part is encoded once, with its space. Letters with closing
+    punctuation fall into two words of the pattern, which are kept apart too. A text with a space before other white
+    space or at its end, or with a special token, is encoded whole.
     """
 
+    CLOSING = ".,;:!?*#&%$|"
+
     def __init__(self, path: str) -> None:
         os.environ["TOKENIZERS_PARALLELISM"] = "false"  # Spark spreads the work
-        import re
-
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.known: dict[str, bytes] = {}
-        special = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
-        self.whole = re.compile("|".join([r"(?: |^)(?:\s|$)", *map(re.escape, special)]))
+        self.special = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
+        self.spaced: dict[str, bytes | None] = {}  # parts after a space; None: not to be cut before this part
+        self.bare: dict[str, bytes] = {"": b""}  # first parts and closing punctuation
 
     def __call__(self, texts: list[str]) -> list[bytes]:
-        parts: list[list[str] | None] = []
-        for t in texts:
-            if self.whole.search(t):
-                parts.append(None)
-                continue
-            first, *rest = t.split(" ")
-            parts.append([first, *[" " + x for x in rest]])
-        wanted = set().union(*[p for p in parts if p])
-        new = [x for x in wanted if x not in self.known]
-        if len(self.known) + len(new) > REMEMBERED:
-            self.known.clear()
-            new = list(wanted)
-        for at in range(0, len(new), 20_000):
-            self._learn(new[at:at + 20_000])
-        known = self.known
-        return [self._encode(t) if p is None else b"".join([known[x] for x in p]) for t, p in zip(texts, parts)]
-
-    def _encode(self, text: str) -> bytes:
+        parts = [t.split(" ") for t in texts]
+        firsts = [p.pop(0) for p in parts]
+        wanted = set().union(*parts)
+        new = wanted.difference(self.spaced)
+        if len(self.spaced) + len(new) > REMEMBERED:
+            self.spaced.clear()
+            new = wanted
+        self._learn(new)
+        self._learn_bare(set(firsts))
+        spaced, out = self.spaced.__getitem__, []
+        for text, first, rest in zip(texts, firsts, parts):
+            ids = [self.bare[first], *map(spaced, rest)]
+            out.append(self._whole(text) if None in ids or any(s in text for s in self.special) else b"".join(ids))
+        if len(self.bare) > REMEMBERED:
+            self.bare = {"": b""}
+        return out
+
+    def _whole(self, text: str) -> bytes:
         return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, dtype="<u4").tobytes()
 
-    def _learn(self, words: list[str]) -> None:
-        found = self.tokenizer.encode(words, is_pretokenized=True, add_special_tokens=False)
-        ids = np.array(found.ids, dtype="<u4").tobytes()
-        ends = np.searchsorted(np.array(found.word_ids), np.arange(len(words)), side="right") * 4
-        start = 0
-        for word, end in zip(words, ends.tolist()):
-            self.known[word] = ids[start:end]
-            start = end
+    def _each(self, words: list[str]) -> list[bytes]:
+        out: list[bytes] = []
+        for at in range(0, len(words), 20_000):
+            part = words[at:at + 20_000]
+            found = self.tokenizer.encode(part, is_pretokenized=True, add_special_tokens=False)
+            ids = np.array(found.ids, dtype="<u4").tobytes()
+            ends = (np.searchsorted(np.array(found.word_ids), np.arange(len(part)), side="right") * 4).tolist()
+            out += [ids[a:b] for a, b in zip([0, *ends], ends)]
+        return out
+
+    def _learn(self, new: set[str]) -> None:
+        spaced = self.spaced
+        split: dict[str, tuple[str, str]] = {}
+        alone: dict[str, None] = {}
+        for part in new:
+            if not part or part[0].isspace():
+                spaced[part] = None
+                continue
+            head = part.rstrip(self.CLOSING)
+            if len(head) < len(part) and head.isalpha():
+                split[part] = head, part[len(head):]
+                if head not in spaced:
+                    alone[head] = None
+            else:
+                alone[part] = None
+        for part, ids in zip(alone, self._each([" " + p for p in alone])):
+            spaced[part] = ids
+        self._learn_bare({tail for _, tail in split.values()})
+        for part, (head, tail) in split.items():
+            spaced[part] = spaced[head] + self.bare[tail]
+
+    def _learn_bare(self, words: set[str]) -> None:
+        new = [w for w in words if w not in self.bare]
+        self.bare.update(zip(new, self._each(new)))
 
 
 class Levels:
@@ -158,7 +187,7 @@ def pack(docs: DataFrame, tokenizer: str, window: int = WINDOW) -> DataFrame:
     end = np.array([END], dtype="<u4").tobytes()
 
     def packed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encode = Encoder(tokenizer)
+        encode = kept(("encoder", tokenizer), lambda: Encoder(tokenizer))
 
         def documents() -> Iterator[tuple[int | None, bytes]]:
             for batch in batches:

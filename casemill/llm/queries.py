@@ -27,8 +27,8 @@ def op1_main_text(spark: SparkSession, folder: str) -> DataFrame:
 OP1_SQL = r"""
 WITH a AS (SELECT page_id, url, regexp_extract(coalesce(html, ''), '(?s)<article>(.*?)(?:</article>|$)', 1) AS h FROM pages),
 b AS (SELECT page_id, url, list_transform(regexp_split_to_array(regexp_replace(h, '</?b>', '', 'g'), '</?(?:h1|p|br)>'),
-  x -> trim(regexp_replace(replace(replace(replace(replace(replace(x, '&lt;', '<'), '&gt;', '>'), '&quot;', '"'), '&#x27;', chr(39)), '&amp;', '&'), '\s+', ' ', 'g'))) AS parts FROM a),
-t AS (SELECT page_id, url, array_to_string(list_filter(parts, x -> x <> ''), ' ') AS text FROM b)
+  lambda x: trim(regexp_replace(replace(replace(replace(replace(replace(x, '&lt;', '<'), '&gt;', '>'), '&quot;', '"'), '&#x27;', chr(39)), '&amp;', '&'), '\s+', ' ', 'g'))) AS parts FROM a),
+t AS (SELECT page_id, url, array_to_string(list_filter(parts, lambda x: x <> ''), ' ') AS text FROM b)
 SELECT page_id, url, text, length(text)::BIGINT AS n_chars FROM t
 """
 
@@ -77,8 +77,8 @@ def op7_vectors(spark: SparkSession, folder: str) -> DataFrame:
 
 OP7_SQL = r"""
 WITH RECURSIVE v AS (SELECT vec_id, label, embedding::DOUBLE[] AS e FROM embeddings),
-g AS (SELECT * FROM v WHERE label IS NOT NULL AND e IS NOT NULL AND len(list_filter(e, x -> x IS NULL OR NOT isfinite(x))) = 0
-  AND len(list_filter(e, x -> x <> 0)) > 0),
+g AS (SELECT * FROM v WHERE label IS NOT NULL AND e IS NOT NULL AND len(list_filter(e, lambda x: x IS NULL OR NOT isfinite(x))) = 0
+  AND len(list_filter(e, lambda x: x <> 0)) > 0),
 l AS (SELECT a.vec_id AS a, b.vec_id AS b FROM g a JOIN g b ON a.label = b.label AND a.vec_id <> b.vec_id
   WHERE list_dot_product(a.e, b.e) / (sqrt(list_dot_product(a.e, a.e)) * sqrt(list_dot_product(b.e, b.e))) >= 0.93),
 r(a, b) AS (SELECT vec_id, vec_id FROM v UNION SELECT r.a, l.b FROM r JOIN l ON r.b = l.a),
@@ -104,7 +104,7 @@ def op10_rules(spark: SparkSession, folder: str) -> DataFrame:
 OP10_SQL = r"""
 WITH t AS (SELECT doc_id, coalesce(text, '') AS text FROM documents),
 w AS (SELECT doc_id, text, regexp_extract_all(text, '[^\x20\x09-\x0D]+') AS words,
-             list_filter(string_split(text, chr(10)), x -> regexp_matches(x, '[^\x20\x09-\x0D]')) AS lines FROM t),
+             list_filter(string_split(text, chr(10)), lambda x: regexp_matches(x, '[^\x20\x09-\x0D]')) AS lines FROM t),
 s AS (SELECT *, [words[i] || ' ' || words[i + 1] || ' ' || words[i + 2] for i in range(1, len(words) - 1)] AS windows FROM w),
 c AS (SELECT *, list_sort(windows) AS ordered FROM s),
 r AS (SELECT *, list_distinct([ordered[i] for i in range(2, len(ordered) + 1) if ordered[i] = ordered[i - 1]]) AS again FROM c),
