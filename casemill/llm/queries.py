@@ -7,7 +7,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from casemill.llm import packing, ppm, quality, simhash, subword, unigram, urlrules, vectors, wrappers
+from casemill.llm import licenses, packing, ppm, quality, simhash, subword, unigram, urlrules, vectors, wrappers
 
 
 def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
@@ -95,6 +95,40 @@ def op8_quality(spark: SparkSession, folder: str) -> DataFrame:
     return scored.select("doc_id", F.coalesce(remainder(5) == 0, F.lit(False)).alias("held_out"), "score", "predicted")
 
 
+def op9_licences(spark: SparkSession, folder: str) -> DataFrame:
+    """Documents as files of one directory per source and hundred ids, every 25th of them the directory's licence file."""
+    shelf = F.concat(F.col("source"), F.lit("/"), F.floor(F.col("doc_id") / 100).cast("string"), F.lit("/"))
+    name = F.when(F.col("doc_id") % 25 == 0, "LICENSE").otherwise(F.concat(F.col("doc_id").cast("string"), F.lit(".txt")))
+    files = table(spark, folder, "documents").select(F.col("doc_id").alias("file"), F.concat(shelf, name).alias("path"), "text")
+    return licenses.scan(files, licenses.templates(spark)).withColumnRenamed("file", "doc_id")
+
+
+_TERMS = r"regexp_extract_all(translate({}, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[a-z0-9+\-]+(?:\.[a-z0-9]+)*')".replace("\\\\", "\\")
+_GIVEN = ", ".join(f"({i}, '{name}', '{text}')" for i, (name, text) in enumerate(licenses.TEMPLATES))
+OP9_SQL = f"""
+WITH given(template, licence, text) AS (VALUES {_GIVEN}),
+gt AS (SELECT template, licence, unnest({_TERMS.format('text')}) AS term FROM given),
+gc AS (SELECT template, licence, term, count(*) AS tf FROM gt GROUP BY ALL),
+gi AS (SELECT term, ln((1 + {len(licenses.TEMPLATES)}) / (1 + count(*))::DOUBLE) + 1 AS idf FROM gc GROUP BY term),
+gw AS (SELECT template, licence, term, tf * idf AS w FROM gc JOIN gi USING (term)),
+gl AS (SELECT template, sqrt(sum(w * w)) AS length FROM gw GROUP BY template),
+files AS (SELECT doc_id, source || '/' || (doc_id // 100) || '/' || CASE WHEN doc_id % 25 = 0 THEN 'LICENSE' ELSE doc_id || '.txt' END AS path,
+  source || '/' || (doc_id // 100) AS directory, coalesce(text, '') AS text, doc_id % 25 = 0 AS is_licence FROM documents),
+o AS (SELECT doc_id, unnest(list_distinct(list_concat(list_filter(string_split(text, chr(10)), lambda x: regexp_matches(x, '{licenses.CUE}')),
+  CASE WHEN is_licence THEN [text] ELSE [] END))) AS offer FROM files),
+t AS (SELECT doc_id, offer, term, count(*) AS tf FROM (SELECT doc_id, offer, unnest({_TERMS.format('offer')}) AS term FROM o) GROUP BY ALL),
+v AS (SELECT doc_id, offer, t.term, tf * coalesce(idf, ln({1 + len(licenses.TEMPLATES)}::DOUBLE) + 1) AS w FROM t LEFT JOIN gi ON t.term = gi.term),
+l AS (SELECT doc_id, offer, sqrt(sum(w * w)) AS length FROM v GROUP BY ALL),
+d AS (SELECT doc_id, offer, template, licence, sum(v.w * gw.w) AS dot FROM v JOIN gw ON v.term = gw.term GROUP BY ALL),
+c AS (SELECT doc_id, licence, round(dot / gl.length / l.length, 6) AS cosine FROM d JOIN l USING (doc_id, offer) JOIN gl USING (template)),
+b AS (SELECT doc_id, licence, cosine FROM c WHERE cosine >= 0.7 QUALIFY row_number() OVER (PARTITION BY doc_id ORDER BY cosine DESC, licence DESC) = 1),
+i AS (SELECT directory, licence FROM files JOIN b USING (doc_id) WHERE is_licence QUALIFY row_number() OVER (PARTITION BY directory ORDER BY cosine DESC, licence DESC) = 1)
+SELECT doc_id, path, coalesce(b.licence, i.licence) AS licence, b.cosine AS cosine, CASE WHEN b.licence IS NULL THEN i.directory END AS from_path
+FROM files LEFT JOIN b USING (doc_id) LEFT JOIN i USING (directory)
+WHERE i.directory IS NULL OR i.directory = files.directory
+"""
+
+
 def op10_rules(spark: SparkSession, folder: str) -> DataFrame:
     book = quality.verdicts(quality.ledger(table(spark, folder, "documents")), quality.V1)
     return book.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words",
@@ -134,6 +168,7 @@ QUERIES = {
     "op6_simhash": (op6_simhash, None),
     "op7_vectors": (op7_vectors, OP7_SQL),
     "op8_quality": (op8_quality, None),
+    "op9_licences": (op9_licences, OP9_SQL),
     "op10_rules": (op10_rules, OP10_SQL),
     "pipeline": (corpus_pipeline.run, corpus_pipeline.ORACLE_SQL),
 }

@@ -11,17 +11,21 @@ from __future__ import annotations
 import re
 from collections.abc import Iterator
 from dataclasses import dataclass
+from heapq import heappop, heappush
 from math import log
+from zlib import crc32
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
+from casemill.llm.worker import kept
+
 MARK = "▁"
 #: Units up to this many bytes are segmented together, longer ones one by one.
 TOGETHER = 48
 #: Units kept with their ids in a worker; when full it starts anew, which changes no id.
-REMEMBERED = 300_000
+REMEMBERED = 700_000
 #: Scores are whole numbers of this part of a nat, so sums are exact and ties are ties on every machine.
 UNIT = 1_000_000
 #: What a character without a piece costs beyond the lowest score.
@@ -59,29 +63,37 @@ def double_array(words: dict[bytes, int]) -> tuple[np.ndarray, np.ndarray, np.nd
                 ends.append(-1)
             node = trie[node][c]
         ends[node] = number
-    size = 2 * len(trie) + 1024
+    size = 4 * len(trie) + 1024
     base, check, value = (np.full(size, fill, dtype=np.int64) for fill in (0, -1, -1))
     taken = bytearray(size)
     taken[0] = 1
-    todo, first_free = [(0, 0)], 1
+    todo = [(0, 0, 0)]  # states with most children first: they need the wide gaps, single children fill the rest
+    first_free, start = 1, 0
     while todo:
-        node, state = todo.pop()
+        _, node, state = heappop(todo)
         value[state] = ends[node]
         codes = sorted(trie[node])
         if not codes:
             continue
-        while taken[first_free]:
-            first_free += 1
-        at = max(first_free - codes[0] - 1, 0)
-        while any(taken[at + c + 1] for c in codes):
-            at += 1
+        first_free = taken.index(0, first_free)
+        if len(codes) == 1:
+            at = taken.index(0, max(first_free, codes[0] + 1)) - codes[0] - 1
+        else:
+            place, tried = taken.index(0, max(first_free, start, codes[0] + 1)), 0
+            while any(taken[place + c - codes[0]] for c in codes):
+                place = taken.index(0, place + 1)
+                tried += 1
+            if tried > 50:  # what lies before is dense
+                start = place
+            at = place - codes[0] - 1
         base[state] = at
         for c in codes:
             place = at + c + 1
             taken[place] = 1
             check[place] = state
-            todo.append((trie[node][c], place))
-    return base, check, value
+            heappush(todo, (-len(trie[trie[node][c]]), trie[node][c], place))
+    used = int(base.max()) + 258  # a step from any state stays inside
+    return base[:used], check[:used], value[:used]
 
 
 def vocabulary(path: str) -> Vocabulary:
@@ -244,7 +256,7 @@ def encode(docs: DataFrame, v: Vocabulary) -> DataFrame:
     empty texts have no ids, score 0 and decode to the empty text.
     """
     def encoded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder = Encoder(v)
+        encoder = kept(("pieces", len(v.pieces), crc32(v.scores.tobytes()), crc32(b"".join(v.pieces))), lambda: Encoder(v))
         is_byte = np.zeros(len(v.pieces), dtype=bool)
         is_byte[v.byte_ids] = True
         for batch in batches:
