@@ -109,7 +109,8 @@ def links(prints: DataFrame) -> DataFrame:
 
 def groups(prints: DataFrame) -> DataFrame:
     """``fp, root`` for every distinct fingerprint of ``prints(fp)``: fingerprints with one root are one group."""
-    distinct = written(prints.select("fp").distinct())
+    tasks = int(prints.sparkSession.conf.get("spark.sql.shuffle.partitions"))  # one row becomes 28, so not in a few tasks
+    distinct = written(prints.select("fp").distinct().repartition(tasks, "fp"))
     found = components(links(distinct))
     return distinct.join(found.withColumnRenamed("node", "fp"), "fp", "left").select("fp", F.coalesce("root", "fp").alias("root"))
 
