@@ -56,7 +56,6 @@ STOP_WORDS = tuple(
 
 # --- Fixed values: facts sections ----------------------------------------------------------------
 FACTS_MIN_CHARS = 300
-FACTS_MAX_CHARS = 20000
 OCR_MIN_CHARS = 500
 
 # --- Fixed values: reasons a document gave no rule, best first ------------------------------------

@@ -67,8 +67,11 @@ def review_sentences(text: Column) -> Column:
     return let(F.split(head, r"\.(?=\s|$)"), build)
 
 
-def facts_section(text: Column) -> Column:
-    """``struct<facts, start>``: the narrative part of a document, or empty strings without a facts heading."""
+def facts_section(text: Column, max_chars: int | None = None) -> Column:
+    """``struct<facts, start>``: the narrative part of a document, or empty strings without a facts heading.
+
+    ``max_chars`` cuts it (the published job uses 20,000); by default it is whole.
+    """
     def cut(head: Column) -> Column:
         body, kind = F.lit(None).cast("string"), F.lit("")
         for name, pattern in reversed(P.FACTS_HEADINGS):
@@ -89,7 +92,8 @@ def facts_section(text: Column) -> Column:
     def told(body: Column) -> Column:
         parts = F.split(F.regexp_replace(body, P.SUBHEAD, " "), P.NARRATIVE_SPLIT)
         kept = F.filter(parts, lambda s: (s != "") & ~s.rlike(P.STATED) & ~s.rlike(P.SANCTION_SENTENCE))
-        return F.substring(strip(F.array_join(kept, " ")), 1, C.FACTS_MAX_CHARS)
+        whole = strip(F.array_join(kept, " "))
+        return whole if max_chars is None else F.substring(whole, 1, max_chars)
 
     return let(let(before_waiver(collapse_space(text)), cut), lambda s: F.struct(
         F.when(s["body"].isNotNull(), let(ended(s["body"]), told)).otherwise("").alias("facts"),

@@ -30,15 +30,22 @@ def marked(text: Column, pattern: str | Column, groups: bool = True) -> Column:
     """
     replacement = _EDGE + (f"$1{_INNER}$2{_INNER}$3" if groups else f"{_INNER}$0{_INNER}") + _EDGE
     regex = pattern if isinstance(pattern, Column) else F.lit(pattern)
-    return F.when(F.rlike(text, regex), F.regexp_replace(text, regex, F.lit(replacement)))
+    return let(F.regexp_replace(text, regex, F.lit(replacement)), lambda done: F.when(done != text, done))
 
 
 def spans_in(marked_text: Column) -> Column:
     """``array<struct<start,end,head,body,tail>>`` of a marked text: 0-based, end-exclusive offsets."""
     def build(parts: Column) -> Column:
+        offsets = F.aggregate(
+            parts, F.struct(F.lit(0).alias("at"), empty_array("int").alias("starts")),
+            lambda acc, part: F.struct((acc["at"] + F.length(part)).alias("at"), F.concat(acc["starts"], F.array(acc["at"])).alias("starts")),
+            lambda acc: acc["starts"])
+        return let(offsets, lambda starts: spans(parts, starts))
+
+    def spans(parts: Column, starts: Column) -> Column:
         def span(i: Column) -> Column:
-            # i parts come before part i; every second one is a match and carries two inner markers
-            before = F.length(F.array_join(F.slice(parts, 1, i), "")) - (i - 1)
+            # every second part is a match and carries two inner markers
+            before = F.get(starts, i) - (i - 1)
             return let(
                 F.struct(before.alias("start"), F.split(F.get(parts, i), _INNER).alias("groups")),
                 lambda m: F.struct(

@@ -91,20 +91,22 @@ def class_list(dataset: DataFrame, split: str = "train") -> DataFrame:
             .select(F.explode(split_keys(F.col("labels"))).alias("series")).distinct())
 
 
-def collected_classes(dataset: DataFrame, split: str = "train", most: int = 1000) -> list[str]:
-    """The class names on the driver, sorted. A label set is a report-sized list; more than ``most`` is an error."""
-    names = [r.series for r in class_list(dataset, split).orderBy("series").limit(most + 1).collect()]
-    if len(names) > most:
-        raise ValueError(f"more than {most} classes")
-    return names
+def collected_classes(dataset: DataFrame, split: str = "train") -> list[str]:
+    """The class names on the driver, sorted, for output that has a column per class."""
+    return [r.series for r in class_list(dataset, split).orderBy("series").collect()]
 
 
-def binarized(dataset: DataFrame, classes: Sequence[str], keep: Sequence[str] = ("case_no",)) -> DataFrame:
+def all_classes(dataset: DataFrame, split: str = "train") -> Column:
+    """The sorted class names of a split as one array that each row can use; they stay on the executors."""
+    return class_list(dataset, split).agg(F.sort_array(F.collect_list("series"))).scalar()
+
+
+def binarized(dataset: DataFrame, classes: Column | Sequence[str], keep: Sequence[str] = ("case_no",)) -> DataFrame:
     """One row per (case, class) with y = 1 where the case has the label."""
-    have = split_keys(F.col("labels"))
-    per_class = F.array(*[F.struct(F.lit(c).alias("series"), F.array_contains("_have", c).cast("int").alias("y"))
-                          for c in classes])
-    return dataset.withColumn("_have", have).select(*keep, F.inline(per_class))
+    names = classes if isinstance(classes, Column) else F.array(*[F.lit(c) for c in classes])
+    rows = dataset.select(*keep, split_keys(F.col("labels")).alias("_have"), names.alias("_classes"))
+    per_class = F.transform("_classes", lambda c: F.struct(c.alias("series"), F.array_contains("_have", c).cast("int").alias("y")))
+    return rows.select(*keep, F.inline(per_class))
 
 
 def pos_weights(labelled: DataFrame, cap: float = 10.0) -> DataFrame:

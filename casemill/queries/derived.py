@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from casemill import constants as C
 from casemill.functions.arrays import joined
-from casemill.operators.labels import binarized, build_dataset, case_labels, collected_classes
+from casemill.operators.labels import all_classes, binarized, build_dataset, case_labels
 from casemill.sources.session import written
 from casemill.sources.tables import load_table, spread
 
@@ -160,8 +160,7 @@ def probability(case: Column, series_name: Column, model_no: int, y: Column) ->
 def predictions(spark: SparkSession, folder: str, split: str = "test") -> DataFrame:
     """Long predictions of three models for the cases of a split."""
     data = written(dataset(spark, folder).select("case_no", "split", "labels"))
-    classes = collected_classes(data)
-    truth = binarized(data.filter(F.col("split") == split), classes)
+    truth = binarized(data.filter(F.col("split") == split), all_classes(data))
     per_model = F.array(*[F.struct(F.lit(m).alias("model"), probability(
         F.col("case_no").cast("bigint"), F.col("series"), i, F.col("y")).alias("p")) for i, m in enumerate(MODELS)])
     return truth.select("case_no", "series", "y", F.inline(per_model)).select("case_no", "model", "series", "y", "p")

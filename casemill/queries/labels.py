@@ -11,7 +11,7 @@ from casemill.operators import metrics as M
 from casemill.operators import ordering as O
 from casemill.queries import derived as D
 from casemill.schemas import OCR_LABELS
-from casemill.sources.session import scratch_path
+from casemill.sources.session import scratch_path, written
 from casemill.sources.tables import (add_column_default, append_runs, load_evolved, load_table, not_yet_run,
                                      optional_table, replace_table)
 
@@ -63,15 +63,15 @@ def class_list(spark, d):
 
 @query("WITH " + D.predictions_sql("validation") + " SELECT case_no, series, y FROM truth")
 def binarized_labels(spark, d):
-    data = D.dataset(spark, d)
-    return L.binarized(data.filter("split = 'validation'"), L.collected_classes(data))
+    data = written(D.dataset(spark, d))
+    return L.binarized(data.filter("split = 'validation'"), L.all_classes(data))
 
 
 @query("WITH " + D.predictions_sql("train") + """ SELECT series, round(least(10, greatest(1,
   sqrt((count(*) - sum(y)) / greatest(sum(y), 1)))), 6) AS weight FROM truth GROUP BY series""")
 def pos_weights(spark, d):
-    data = D.dataset(spark, d)
-    truth = L.binarized(data.filter("split = 'train'"), L.collected_classes(data))
+    data = written(D.dataset(spark, d))
+    truth = L.binarized(data.filter("split = 'train'"), L.all_classes(data))
     return L.pos_weights(truth).withColumn("weight", D.r6("weight"))
 
 
@@ -120,23 +120,26 @@ def coverage(spark, d):
     return L.coverage(D.cases(spark, d), done)
 
 
-@query("""SELECT event_id, user_id, event_type FROM events e WHERE NOT EXISTS (SELECT 1 FROM events f
-  WHERE f.user_id = e.user_id AND f.event_type = 'error')""")
+@query("""SELECT o_orderkey, o_custkey, o_orderpriority FROM orders o WHERE NOT EXISTS (SELECT 1 FROM orders r
+  WHERE r.o_custkey = o.o_custkey AND r.o_orderpriority = o.o_orderpriority AND r.o_orderstatus = 'F')""")
 def resume_anti(spark, d):
-    events = D.table(spark, d, "events", "event_id", "user_id", "event_type")
-    return not_yet_run(events, events.filter("event_type = 'error'"), ["user_id"])
+    """Orders whose customer has no finished order of the same priority."""
+    orders = D.table(spark, d, "orders", "o_orderkey", "o_custkey", "o_orderpriority", "o_orderstatus")
+    return not_yet_run(orders.drop("o_orderstatus"), orders.filter("o_orderstatus = 'F'"), ["o_custkey", "o_orderpriority"])
 
 
-@query("""SELECT event_id, user_id, event_type FROM events e WHERE EXISTS (SELECT 1 FROM events f
-  WHERE f.user_id = e.user_id AND f.event_type = 'purchase')""")
+@query("""SELECT o_orderkey, o_custkey, o_orderpriority FROM orders o WHERE EXISTS (SELECT 1 FROM orders r
+  WHERE r.o_custkey = o.o_custkey AND r.o_orderpriority = o.o_orderpriority AND r.o_orderstatus = 'P')""")
 def listed_cases(spark, d):
-    events = D.table(spark, d, "events", "event_id", "user_id", "event_type")
-    return events.join(events.filter("event_type = 'purchase'").select("user_id"), "user_id", "left_semi")
+    """Orders whose customer has a pending order of the same priority."""
+    orders = D.table(spark, d, "orders", "o_orderkey", "o_custkey", "o_orderpriority", "o_orderstatus")
+    return orders.join(orders.filter("o_orderstatus = 'P'").select("o_custkey", "o_orderpriority"), ["o_custkey", "o_orderpriority"], "left_semi").drop("o_orderstatus")
 
 
-@query("SELECT c_custkey FROM customer WHERE c_custkey NOT IN (SELECT o_custkey FROM orders)")
+@query("SELECT c_custkey FROM customer WHERE c_custkey NOT IN (SELECT o_custkey FROM orders WHERE o_orderstatus = 'P' AND o_orderpriority < '2')")
 def completeness_gap(spark, d):
-    have = D.table(spark, d, "orders", "o_custkey").withColumnRenamed("o_custkey", "c_custkey")
+    pending = D.table(spark, d, "orders").filter("o_orderstatus = 'P' AND o_orderpriority < '2'")
+    have = pending.select(F.col("o_custkey").alias("c_custkey"))
     return L.missing_keys(D.table(spark, d, "customer"), have, "c_custkey")
 
 

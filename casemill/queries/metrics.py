@@ -47,11 +47,12 @@ def ensemble_average(spark, d):
     return M.ensemble(D.predictions(spark, d), ["baseline", "finetune"]).select("case_no", "series", "y", D.r6("p").alias("p"))
 
 
-@query("""SELECT event_type AS series, count(DISTINCT user_id % 3) AS members FROM events WHERE value < 0.5 GROUP BY event_type
-  HAVING count(DISTINCT user_id % 3) < 3""")
+@query("""SELECT CAST(o_custkey % 400 AS VARCHAR) AS series, count(DISTINCT o_orderkey % 3) AS members FROM orders WHERE o_orderstatus = 'P'
+  GROUP BY 1 HAVING count(DISTINCT o_orderkey % 3) < 3""")
 def class_set_mismatches(spark, d):
-    rows = D.table(spark, d, "events").filter("value < 0.5").select(
-        F.col("event_type").alias("series"), (F.col("user_id") % 3).cast("string").alias("model"))
+    """Customer groups whose pending orders leave out one of three order kinds."""
+    rows = D.table(spark, d, "orders").filter("o_orderstatus = 'P'").select(
+        (F.col("o_custkey") % 400).cast("string").alias("series"), (F.col("o_orderkey") % 3).cast("string").alias("model"))
     return M.class_set_mismatches(rows, ["0", "1", "2"])
 
 
@@ -151,7 +152,8 @@ _BOOT = _PREDS + f""", idx AS (SELECT case_no, row_number() OVER (ORDER BY case_
     FROM sums JOIN support USING (series)),
   macros AS (SELECT rep, model, avg(f1) AS m, avg(f1) FILTER (WHERE support >= 10) AS ms FROM f GROUP BY rep, model),
   named AS (SELECT rep, model AS name, m, ms FROM macros UNION ALL
-    SELECT x.rep, 'finetune minus baseline', x.m - z.m, x.ms - z.ms FROM macros x JOIN macros z ON x.rep = z.rep WHERE x.model = 'finetune' AND z.model = 'baseline')"""
+    SELECT x.rep, 'finetune minus ' || z.model, x.m - z.m, x.ms - z.ms FROM macros x JOIN macros z ON x.rep = z.rep
+    WHERE x.model = 'finetune' AND z.model IN ('baseline', 'zeroshot'))"""
 
 
 @query(_BOOT + """ SELECT name, round(max(m) FILTER (WHERE rep = -1), 6) AS value, round(quantile_cont(m, 0.025) FILTER (WHERE rep >= 0), 6) AS low,
@@ -162,7 +164,7 @@ _BOOT = _PREDS + f""", idx AS (SELECT case_no, row_number() OVER (ORDER BY case_
     round(avg(CASE WHEN ms > 0 THEN 1 ELSE 0 END) FILTER (WHERE rep >= 0), 6) AS supported_positive
   FROM named GROUP BY name""")
 def bootstrap_macro_f1(spark, d):
-    got = B.intervals(B.resampled_macro_f1(D.predictions(spark, d), REPS), [("finetune", "baseline")])
+    got = B.intervals(B.resampled_macro_f1(D.predictions(spark, d), REPS), [("finetune", "baseline"), ("finetune", "zeroshot")])
     return got.select("name", *[D.r6(c).alias(c) for c in got.columns if c != "name"])
 
 

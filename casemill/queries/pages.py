@@ -97,11 +97,11 @@ def rule_links(spark, d):
     return _linked(spark, d).select("page_id", F.array_join(found, "|").alias("rules"), first.alias("first_link"))
 
 
-@query("""SELECT page_id, concat_ws('|', CASE WHEN contains('2024-01', CAST(page_id AS VARCHAR)) THEN NULL END,
+@query("""SELECT page_id, concat_ws('|', 'https://www.example.org/a/quarterly-disciplinary-actions-' || CAST(page_id AS VARCHAR) || '.pdf',
   'https://www.example.org/a/b/docs/' || CAST(page_id AS VARCHAR) || '_AWC.pdf', 'https://www.example.org/a/b/other.PDF') AS documents FROM pages""")
 def document_links(spark, d):
     key = F.col("page_id").cast("string")
-    found = F.filter(web.document_links(F.col("html"), F.col("url"), key), lambda u: ~F.contains(u, F.lit("isciplinary")))
+    found = web.document_links(F.col("html"), F.col("url"), key)
     return _linked(spark, d).select("page_id", F.array_join(found, "|").alias("documents"))
 
 

@@ -32,11 +32,11 @@ def _reports(spark, d):
     block = F.concat(
         F.when(F.col("x.l_linestatus") == "O", F.concat(F.lit("Firms Fined "), F.col("x.l_returnflag"), F.lit("\n"))).otherwise(""),
         F.lit("Firm "), who, F.lit(" (CRD #"), who, F.lit(", New York)\n"), F.date_format("x.l_shipdate", "MMMM d, yyyy"),
-        F.lit(" – An AWC was issued for "), F.col("x.phrase"), F.lit(" in surveil-\nlance. (FINRA Case\n#"), case_no, F.lit(")\n")).alias("block")
+        F.lit(" – An AWC was issued for "), F.col("x.phrase"), F.lit(" over work-\nshops. (FINRA Case\n#"), case_no, F.lit(")\n")).alias("block")
     blocks = rows.select("l_orderkey", "_i", block).groupBy("l_orderkey").agg(
         F.sort_array(F.collect_list(F.struct("_i", "block"))).alias("b"))
-    text = F.concat(F.lit("Disciplinary and Other FINRA Actions | July 2026 1\nSearch\n12\n"),
-                    F.array_join(F.transform("b", lambda x: x["block"]), ""), F.lit("FINRA Case #2025086456101\n"))
+    text = F.concat(F.lit("Disciplinary and Other FINRA Actions | March 2031 1\nSearch\n12\n"),
+                    F.array_join(F.transform("b", lambda x: x["block"]), ""), F.lit("FINRA Case #2030000000001\n"))
     return blocks.select(F.concat(F.lit("r"), F.col("l_orderkey").cast("string")).alias("report_url"), text.alias("text"))
 
 
@@ -50,13 +50,13 @@ _CASES = "WITH " + D.PHRASES + """, cases AS (SELECT l_orderkey, place, 'r' || C
 
 
 @query(_CASES + """ SELECT report_url, case_no, CAST(place - 1 AS INTEGER) AS pos, section, respondent, CAST(l_shipdate AS DATE) AS action_date,
-  intro || phrase || ' in surveillance.' AS text FROM cases""")
+  intro || phrase || ' over workshops.' AS text FROM cases""")
 def segment_reports(spark, d):
     return DO.segment_reports(_reports(spark, d), ["report_url"])
 
 
-@query(_CASES + """ SELECT report_url, '2026-07' AS report_month, case_no, section, respondent, CAST(l_shipdate AS DATE) AS action_date,
-  intro || phrase || ' in surveillance.' AS text, intro || '[RULE] in surveillance.' AS masked_text, cited AS summary_rules FROM cases""")
+@query(_CASES + """ SELECT report_url, '2031-03' AS report_month, case_no, section, respondent, CAST(l_shipdate AS DATE) AS action_date,
+  intro || phrase || ' over workshops.' AS text, intro || '[RULE] over workshops.' AS masked_text, cited AS summary_rules FROM cases""")
 def monthly_cases(spark, d):
     return DO.monthly_cases(DO.with_report_month(_reports(spark, d)))
 
@@ -99,11 +99,11 @@ def masked_texts(spark, d):
 
 
 @query("WITH " + D.PHRASES + """ SELECT l_partkey, CASE l_partkey % 8 WHEN 0 THEN 'Rule ' || substr(num, 1, 1) WHEN 1 THEN 'Rule ' || substr(num, 1, 1)
-    WHEN 2 THEN 'G-' || CAST(l_partkey % 40 + 1 AS VARCHAR) WHEN 3 THEN 'Rule 1' || '|' || '' WHEN 4 THEN 'Section ' || substr(CAST(l_partkey % 30 + 1 AS VARCHAR), 1, 1)
+    WHEN 2 THEN 'G-' || CAST(l_partkey % 40 + 1 AS VARCHAR) WHEN 3 THEN 'Rule 1' WHEN 4 THEN 'Section ' || substr(CAST(l_partkey % 30 + 1 AS VARCHAR), 1, 1)
     WHEN 5 THEN 'Section ' || substr(CAST(l_partkey % 30 + 1 AS VARCHAR), 1, 1) WHEN 6 THEN 'Rule 6' ELSE 'Rule ' || substr(num, 1, 1) END AS leaks, count(*) AS n
-  FROM phrased WHERE l_partkey % 8 <> 3 GROUP BY ALL""")
+  FROM phrased GROUP BY ALL""")
 def leaks(spark, d):
-    texts = _line_texts(spark, d).filter(~F.contains("text", F.lit("17a")))
+    texts = _line_texts(spark, d)
     return texts.groupBy("l_partkey", joined(CT.leaks(F.col("text"))).alias("leaks")).agg(F.count("*").alias("n"))
 
 
@@ -280,9 +280,9 @@ def rule_numbers(spark, d):
                        R.clean_title(F.concat("num", F.lit(".  Small   Ring "), "num", F.lit("."))).alias("title"), "n")
 
 
-@query("""SELECT doc_id, CASE WHEN doc_id % 2 = 0 THEN 'Alpha beta' || chr(10) || lang ELSE 'surveillance' || chr(10) || 'of ' || lang END AS cleaned FROM documents""")
+@query("""SELECT doc_id, CASE WHEN doc_id % 2 = 0 THEN 'Alpha beta' || chr(10) || lang ELSE 'workshops' || chr(10) || 'of ' || lang END AS cleaned FROM documents""")
 def clean_report_text(spark, d):
-    head = F.lit("Disciplinary and Other FINRA Actions | July 2026 1\n")
+    head = F.lit("Disciplinary and Other FINRA Actions | March 2031 1\n")
     text = F.when(F.col("doc_id") % 2 == 0, F.concat(head, F.lit("  Alpha beta \n\n 12 \n"), F.col("lang"), F.lit("  "))).otherwise(
-        F.concat(F.lit("surveil-\nlance\n \t\n"), head, F.lit("7\nof "), F.col("lang")))
+        F.concat(F.lit("work-\nshops\n \t\n"), head, F.lit("7\nof "), F.col("lang")))
     return D.table(spark, d, "documents", "doc_id", "lang").select("doc_id", RP.clean_report_text(text).alias("cleaned"))

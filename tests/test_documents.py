@@ -41,7 +41,7 @@ def test_review_sentences_cut_before_inner_periods(spark):
 def test_facts_section(spark):
     text = ("OVERVIEW He violated FINRA Rule 3270. FACTS AND VIOLATIVE CONDUCT Late filing (Violation of FINRA Rule 1122) "
             "From 2019 he ran a bakery. He told nobody. By this he violated FINRA Rule 3270. He earned $9,000. "
-            "B. He also consents to the imposition of the following sanctions: a fine. Later text.")
+            "B. They also consent to the imposition of the following sanctions: repayment. After that.")
     row = one(spark, text, D.facts_section)
     assert row.start == "facts and violative conduct"
     assert row.facts == "Late filing   From 2019 he ran a bakery. He told nobody. He earned $9,000."
@@ -78,8 +78,8 @@ Disciplinary and Other FINRA Actions | March 2024 3
 Actions
 Firms Fined
 Gamma Bank (CRD #9, Reno, Nevada)
-March  4, 2024 – An AWC was issued. The firm's surveil-
-lance failed FINRA Rule 3110. (FINRA Case #2021000000001)
+March  4, 2024 – An AWC was issued. The firm's work-
+shops failed FINRA Rule 3110. (FINRA Case #2021000000001)
 Firm staff of Delta LLC (CRD #8, Troy, Ohio)
 March 44, 2024 – The firm erred. (FINRA
 Case #2021000000002)
@@ -97,7 +97,7 @@ def test_segment_report(spark):
     assert [r.section for r in rows] == ["Firms Fined", "Firms Fined", "Individuals Barred"]
     assert [r.respondent for r in rows] == ["Gamma Bank", "Firm staff of Delta LLC", "Ann Ray"]
     assert [r.action_date for r in rows] == [datetime.date(2024, 3, 4), None, None]
-    assert rows[0].text.endswith("surveillance failed FINRA Rule 3110.") and "Disciplinary" not in rows[0].text
+    assert rows[0].text.endswith("workshops failed FINRA Rule 3110.") and "Disciplinary" not in rows[0].text
 
 
 def test_monthly_cases_keep_the_latest_report(spark):

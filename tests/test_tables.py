@@ -15,7 +15,7 @@ from casemill.sources import tables as T
 
 
 def test_rule_keys(spark):
-    df = spark.createDataFrame([("NASD:3010|FINRA:2010|FINRA:9552|FINRA:0140|SEC_RULE:17a-4|SEC_SECTION:19|NASD:2110|NASD:9999",)], "k string")
+    df = spark.createDataFrame([("NASD:3010|FINRA:9268|SEC_RULE:15c3-1|FINRA:0150|NASD:2110|SEC_SECTION:19|NASD:9911|FINRA:2010",)], "k string")
     row = df.select(R.label_series(split_keys(F.col("k"))).alias("s"), R.rulebook_rules_of(F.col("k")).alias("r")).first()
     assert row.s == ["FINRA:3000", "NASD:9000", "SEC_RULE"] and row.r == ["3110"]
     keys = ["FINRA:11870", "NASD:IM-2210-1", "MSRB:G-17", "FINRA:x"]
