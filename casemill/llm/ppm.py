@@ -34,7 +34,7 @@ BITS = 9
 BOUNDARY = 256
 SYMBOLS = 257
 #: Bytes of text in a block, about; a longer text is a block of its own.
-BLOCK = 16_000_000
+BLOCK = 32_000_000
 #: Bytes of text worked on at once inside a block.
 PART = 2_000_000
 
@@ -198,8 +198,8 @@ def scores(docs: DataFrame, learn: Column) -> DataFrame:
     totals = known.agg(F.coalesce(F.sum("c"), F.lit(0)).alias("n"), F.coalesce(F.sum((F.col("c") > 0).cast("bigint")), F.lit(0)).alias("v")).first()
     asked_grams = asked.filter("gram is not null").select("block", "gram", "n")
     lengths = written(code_lengths(written(asked_grams.groupBy("gram").agg(F.sum("n").alias("n")))))
-    answers = (words.select("block", "word").distinct().join(known, "word").select("block", "word", "c", F.lit(None).cast("bigint").alias("gram"), F.lit(None).cast("double").alias("p"))
-               .unionByName(asked_grams.select("block", "gram").distinct().join(lengths, "gram")
+    answers = (words.select("block", "word").join(known, "word").select("block", "word", "c", F.lit(None).cast("bigint").alias("gram"), F.lit(None).cast("double").alias("p"))
+               .unionByName(asked_grams.select("block", "gram").join(lengths, "gram")
                             .select("block", F.lit(None).cast("binary").alias("word"), F.lit(None).cast("bigint").alias("c"), "gram", F.col("log10p").alias("p"))))
     train_tokens, below = int(totals.n), log10(totals.n + totals.v + 1)
 
@@ -207,8 +207,8 @@ def scores(docs: DataFrame, learn: Column) -> DataFrame:
         of_words = answer.filter(pc.is_valid(answer.column("word")))
         value = dict(zip(of_words.column("word").to_pylist(), np.log10(of_words.column("c").to_numpy() + 1.0).tolist()))
         of_grams = answer.filter(pc.is_valid(answer.column("gram")))
-        index = pd.Index(of_grams.column("gram").to_numpy())
-        p = of_grams.column("p").to_numpy()
+        codes_, first = np.unique(of_grams.column("gram").to_numpy(), return_index=True)  # a block read by two tasks asks twice
+        index, p = pd.Index(codes_), of_grams.column("p").to_numpy()[first]
         raw = own.column("text").to_pylist()
         tokens, n_known, base, score = [], [], [], []
         for run in parts(raw):

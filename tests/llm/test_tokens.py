@@ -155,7 +155,7 @@ def brute_ppm(train):
     return symbol
 
 
-@pytest.mark.parametrize("block", [16_000_000, 40])
+@pytest.mark.parametrize("block", [32_000_000, 40])
 def test_scores(spark, monkeypatch, block):
     monkeypatch.setattr(ppm, "BLOCK", block)
     rng = random.Random(6)
