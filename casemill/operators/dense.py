@@ -23,9 +23,9 @@ BLOCK_BYTES = 32 << 20
 
 
 def normalised(vector: Column) -> Column:
-    """The vector divided by its length."""
+    """The vector divided by its length; a zero vector stays zero and so scores 0 everywhere."""
     length = F.sqrt(F.aggregate(vector, F.lit(0.0), lambda a, x: a + x.cast("double") * x))
-    return F.transform(vector, lambda x: x.cast("double") / length)
+    return F.transform(vector, lambda x: x.cast("double") / F.when(length > 0, length).otherwise(1.0))
 
 
 def query_blocks(queries: DataFrame, query_id: str, vector: str, carried_rows: int = 0,
@@ -43,8 +43,7 @@ def query_blocks(queries: DataFrame, query_id: str, vector: str, carried_rows: i
     for part in range(parts):
         own = rows.filter(F.pmod(F.xxhash64("q"), F.lit(parts)) == part).toPandas().sort_values("q")
         if len(own):
-            m = np.stack(own["v"].to_numpy()).astype(np.float64)
-            yield (own["q"].to_numpy(), m / np.linalg.norm(m, axis=1, keepdims=True)), parts == 1
+            yield (own["q"].to_numpy(), _unit(own["v"])), parts == 1
 
 
 def per_block(queries: DataFrame, query_id: str, vector: str, run, schema: str, carried_rows: int = 0) -> DataFrame:
@@ -58,7 +57,8 @@ def per_block(queries: DataFrame, query_id: str, vector: str, run, schema: str,
 
 def _unit(vectors: pd.Series) -> np.ndarray:
     m = np.stack(vectors.to_numpy()).astype(np.float64)
-    return m / np.linalg.norm(m, axis=1, keepdims=True)
+    length = np.linalg.norm(m, axis=1, keepdims=True)
+    return m / np.where(length > 0, length, 1)
 
 
 def _best(scores: np.ndarray, ids: np.ndarray, groups: np.ndarray, k: int) -> np.ndarray:

@@ -111,15 +111,15 @@ def word_windows(spark, d):
         "doc_id", F.size(RB.word_windows(F.col("text"))).alias("windows"), F.size(words(F.col("text"))).alias("words"))
 
 
-# --- rankings over the documents that have a vector --------------------------------------------------------
+# --- rankings over all documents and all vectors ------------------------------------------------------------
 
 
 
 
 def _vector_chunks(spark, d):
-    """Documents with a vector, as chunks of rules; every rule above 9000 is no conduct rule."""
-    docs = D.table(spark, d, "documents", "doc_id", "text").join(
-        D.table(spark, d, "embeddings", "vec_id", "embedding"), F.col("doc_id") == F.col("vec_id"))
+    """Every document as a chunk of a rule, with the vectors dealt out in turn; a rule above 9000 is no conduct rule."""
+    vectors = D.table(spark, d, "embeddings", "vec_id", "embedding")
+    docs = D.table(spark, d, "documents", "doc_id", "text").withColumn("vec_id", F.col("doc_id") % vectors.agg(F.count("*")).scalar()).join(vectors, "vec_id")
     rows = O.global_row_number(docs, [F.col("doc_id")], "_n")
     rule = F.concat((1000 + F.col("doc_id") % 400 * 21).cast("string"), F.lit(".01"))
     return written(rows.select((F.col("_n") - 1).alias("chunk_id"), rule.alias("rule_no"), F.lit("t").alias("title"), "text", "embedding"))
@@ -134,7 +134,7 @@ def _searches(spark, d):
 _VEC = """vecs AS (SELECT vec_id, label, list_transform(embedding, lambda x: CAST(x AS DOUBLE)) AS v FROM embeddings),
   units AS (SELECT vec_id, label, list_transform(v, lambda x: x / sqrt(list_dot_product(v, v))) AS v FROM vecs),
   vchunks AS (SELECT row_number() OVER (ORDER BY doc_id) - 1 AS chunk_id, doc_id, CAST(1000 + doc_id % 400 * 21 AS VARCHAR) AS rule, 1000 + doc_id % 400 * 21 < 9000 AS conduct, text, v
-    FROM documents JOIN units ON doc_id = vec_id),
+    FROM documents JOIN units ON doc_id % (SELECT count(*) FROM embeddings) = vec_id),
   searches AS (SELECT item_id, text, v, label FROM benchmark JOIN units ON item_id = vec_id),
   dense AS (SELECT s.item_id, c.chunk_id, round(list_dot_product(s.v, c.v), 9) AS score FROM searches s CROSS JOIN vchunks c)"""
 _BOTH = _search_sql("SELECT chunk_id AS id, text FROM vchunks", "SELECT item_id AS q, text FROM searches").replace("WITH ", "WITH " + _VEC + ", ", 1) + """,
@@ -148,10 +148,13 @@ _BOTH = _search_sql("SELECT chunk_id AS id, text FROM vchunks", "SELECT item_id
   top5 AS (SELECT * FROM ranked WHERE rank <= 5)"""
 
 
-@query("WITH " + _VEC + """ SELECT item_id, chunk_id, round(score, 6) AS score, r AS rank FROM (SELECT *, row_number() OVER (PARTITION BY item_id
-  ORDER BY score DESC, chunk_id) AS r FROM dense) WHERE r <= 5""")
+@query("WITH " + _VEC + """, every AS (SELECT s.item_id, u.vec_id AS chunk_id, round(list_dot_product(s.v, u.v), 9) AS score FROM searches s CROSS JOIN units u)
+  SELECT item_id, chunk_id, round(score, 6) AS score, r AS rank FROM (SELECT *, row_number() OVER (PARTITION BY item_id
+  ORDER BY score DESC, chunk_id) AS r FROM every) WHERE r <= 5""")
 def dense_topk(spark, d):
-    return nearest(_vector_chunks(spark, d), _searches(spark, d), "chunk_id", "item_id").withColumn("score", D.r6("score"))
+    """The five nearest of all vectors for each search."""
+    vectors = D.table(spark, d, "embeddings", "vec_id", "embedding").withColumnRenamed("vec_id", "chunk_id")
+    return nearest(vectors, _searches(spark, d), "chunk_id", "item_id").withColumn("score", D.r6("score"))
 
 
 def _ranked(spark, d):

@@ -1,7 +1,4 @@
-"""Registered queries against their SQL on the smallest tables.
-
-``TEST_ALL_QUERIES=1`` runs every one (about seven minutes); otherwise some from each module.
-"""
+"""Every registered query against its SQL on the smallest tables (``TEST_SF_DIR`` picks others)."""
 
 import os
 
@@ -11,9 +8,6 @@ from casemill.queries import ALL
 from oracle import compare, connect
 
 FOLDER = os.environ.get("TEST_SF_DIR", "/root/testdata/sf0.001")
-SOME = ("bm25_topk", "bm25_index", "dense_topk", "chunks", "title_share_by_rule", "titles_in_texts", "citation_rows", "segment_reports",
-        "document_labels", "leak_audit", "sentence_split", "page_links", "page_texts", "listing_rows", "dataset_build", "labels_without_ocr",
-        "class_scores", "tfidf_weights", "answer_report", "keep_latest", "first_doc_with_rules", "length_thirds", "appended_runs")
 
 
 @pytest.fixture(scope="module")
@@ -21,7 +15,7 @@ def con():
     return connect(FOLDER)
 
 
-@pytest.mark.parametrize("name", sorted(ALL) if os.environ.get("TEST_ALL_QUERIES") else SOME)
+@pytest.mark.parametrize("name", sorted(ALL))
 def test_query(spark, con, name):
     fn, sql = ALL[name]
     assert compare(spark, con, FOLDER, fn, sql) is None
