@@ -24,7 +24,7 @@ from casemill.llm.worker import kept
 WINDOW = 2048
 END = 1
 #: Spaced words kept with their ids in a worker; when full it starts anew, which changes no id.
-REMEMBERED = 1_000_000
+REMEMBERED = 400_000
 #: Rows of pieces handed on at once.
 HANDED_ON = 20_000
 
@@ -191,9 +191,9 @@ def pack(docs: DataFrame, tokenizer: str, window: int = WINDOW) -> DataFrame:
 
         def documents() -> Iterator[tuple[int | None, bytes]]:
             for batch in batches:
-                ids, texts = batch.column("doc_id").to_pylist(), [t or "" for t in batch.column("text").to_pylist()]
-                for at in range(0, len(texts), 500):
-                    for i, encoded in zip(ids[at:at + 500], encode(texts[at:at + 500])):
+                for at in range(0, batch.num_rows, 500):
+                    part = batch.slice(at, 500)
+                    for i, encoded in zip(part.column("doc_id").to_pylist(), encode([t or "" for t in part.column("text").to_pylist()])):
                         yield i, encoded + end
 
         schema = pa.schema([(c.split()[0], pa.int64()) for c in SCHEMA.split(", ")])

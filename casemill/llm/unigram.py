@@ -25,7 +25,7 @@ MARK = "▁"
 #: Units up to this many bytes are segmented together, longer ones one by one.
 TOGETHER = 48
 #: Units kept with their ids in a worker; when full it starts anew, which changes no id.
-REMEMBERED = 700_000
+REMEMBERED = 400_000
 #: Scores are whole numbers of this part of a nat, so sums are exact and ties are ties on every machine.
 UNIT = 1_000_000
 #: What a character without a piece costs beyond the lowest score.
@@ -260,14 +260,14 @@ def encode(docs: DataFrame, v: Vocabulary) -> DataFrame:
         is_byte = np.zeros(len(v.pieces), dtype=bool)
         is_byte[v.byte_ids] = True
         for batch in batches:
-            doc_ids, texts = batch.column("doc_id"), batch.column("text").to_pylist()
-            for at in range(0, len(texts), 1000):
-                raw = encoder([t or "" for t in texts[at:at + 1000]])
+            for at in range(0, batch.num_rows, 500):
+                part = batch.slice(at, 500)
+                raw = encoder([t or "" for t in part.column("text").to_pylist()])
                 lists = [np.frombuffer(r, "<u4").astype(np.int32) for r in raw]
                 offsets = pa.array(np.cumsum([0, *map(len, lists)]), pa.int32())
                 flat = np.concatenate(lists) if lists else np.zeros(0, np.int32)
                 yield pa.RecordBatch.from_arrays([
-                    doc_ids.slice(at, 1000).cast(pa.int64()), pa.ListArray.from_arrays(offsets, pa.array(flat, pa.int32())),
+                    part.column("doc_id").cast(pa.int64()), pa.ListArray.from_arrays(offsets, pa.array(flat, pa.int32())),
                     pa.array([int(is_byte[x].sum()) for x in lists], pa.int64()),
                     pa.array([int(v.scores[x].sum()) / UNIT for x in lists], pa.float64()),
                     pa.array([encoder.decode(r) for r in raw], pa.string())],
