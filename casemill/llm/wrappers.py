@@ -40,7 +40,11 @@ ASIDE_WORDS = frozenset(
     "ad ads advert adverts advertisement advertising sponsor sponsored promo promotion banner cookie cookies consent notice notices alert popup "
     "modal newsletter subscribe subscription signup login nav navbar navigation menu menus breadcrumb breadcrumbs sidebar side aside footer "
     "header masthead topbar toolbar comment comments disqus respond replies related recommended share sharing social widget widgets "
-    "pagination pager search skip".split())
+    "pagination pager search skip complementary contentinfo hidden".split())
+#: Words of an ``article`` or ``main`` that is none.
+NOT_ARTICLE = frozenset("comment comments respond replies related recommended hidden".split())
+#: Words that make a name one of the page's layout, such as ``content-with-sidebar``.
+LAYOUT = frozenset("with without has no layout page site".split())
 #: Containers that hold the article, by tag or by a word of their class, id or role.
 MAIN = frozenset(("article", "main"))
 MAIN_WORDS = frozenset("article main content post entry story".split())
@@ -56,12 +60,16 @@ TOKEN = re.compile(
     r"|<(?P<end>/?)(?P<tag>[a-zA-Z][^\s/>]*)(?P<attrs>(?:[^>\"']|\"[^\"]*\"|'[^']*')*+|[^>]*)(?:>|\Z)"
     r"|(?P<text>[^<]+|<)", re.S | re.I)
 ATTRIBUTE = re.compile(r"(?:^|\s)(?:class|id|role)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+))", re.I)
+HIDDEN = re.compile(r"(?:^|[\s-])hidden\b|display\s*:\s*none", re.I)
 WORD = re.compile(r"[a-z]+")
 
 
 def label_of(tag: str, attributes: str) -> str:
-    """The tag with the words of its class, id and role; digits are left out, so numbered names are one name."""
+    """The tag with the words of its class, id and role; digits are left out, so numbered names are one name. What is
+    not shown gets the word ``hidden``."""
     words = [w for m in ATTRIBUTE.finditer(attributes) for w in WORD.findall(html.unescape(m[1] or m[2] or m[3] or "").lower())] if attributes else []
+    if attributes and HIDDEN.search(attributes):
+        words.append("hidden")
     return ".".join([tag, *dict.fromkeys(words)])
 
 
@@ -70,8 +78,10 @@ def is_aside(label: str, in_article: bool = False) -> bool:
     tag, *words = label.split(".")
     if tag in ASIDE or tag == "header" and not in_article:
         return True
-    if tag in ("html", "body", *MAIN):
-        return False
+    if tag in MAIN:
+        return bool(NOT_ARTICLE.intersection(words))
+    if tag in ("html", "body") or LAYOUT.intersection(words) and "hidden" not in words:
+        return "hidden" in words
     return bool(ASIDE_WORDS.intersection(words) - ({"header"} if in_article else set()))
 
 

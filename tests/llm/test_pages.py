@@ -64,6 +64,7 @@ PAGE = ("<html><head><title>t</title><style>p{}</style><script>var x='</p>';</sc
     ("<!-- <p>no</p> --><p title=\"x>y\">kept</p><table><tr><td>1<td>2</table>", "Big & news kept 1 2"),
     ("<ul><li>x<li>y</ul>3 < 4 <div class=\"notice\">cookies</div>", "Big & news x y 3 < 4"),
     ("", "Big & news"),
+    ("<p style='display: none'>no</p><div hidden>no</div><div class='text-with-sidebar'><p>kept</p></div><section class=\"comments\"><article>no</article></section>", "Big & news kept"),
 ])
 def test_article_of_one_page(body, want):
     page = PAGE.replace("{body}", body)
@@ -88,6 +89,13 @@ def test_wrapper_finds_an_unmarked_article():
     assert [wrappers.main_text(p, paths) for p in pages[:2]] == ["0 a x", "1 a more x"]
 
 
+def test_comments_in_article_tags():
+    page = ("<body class='single page'><div class='content-with-sidebar'><main class='no-sidebar'><article class='post'><h1>T</h1><p>x</p></article>"
+            "<article class='comment'><p>c</p></article></main><div class='sidebar-right'>s</div></div></body>")
+    wrapper = wrappers.merged([wrappers.render(wrappers.shape(page))])
+    assert wrappers.main_text(page, wrappers.article_paths(wrapper)) == "T x"
+
+
 def test_extract_pages(spark):
     page = PAGE.replace("{body}", "<p>text</p>")
     rows = [(1, "http://a.net/x", page), (2, "http://a.net/y", page), (2, "http://a.net/y", page), (3, None, page), (None, "http://b.net", "<p>lone"), (4, "http://a.net/z", None),
