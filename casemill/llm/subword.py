@@ -162,7 +162,7 @@ def train(docs: DataFrame, labels: DataFrame, where: Column, settings: Settings
     order that depends on their content alone; the driver gets the folded table and the bias."""
     def fitted(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         rows = sorted((label, len(r), r, s) for pdf in batches for r, s, label in zip(pdf.rows, pdf.shares, pdf.label.tolist()))
-        model = fit([(np.frombuffer(r, "<u4").astype(np.int64), np.frombuffer(s, np.float32), y) for y, _, r, s in rows], settings)
+        model = fit([(np.frombuffer(r, "<u4"), np.frombuffer(s, np.float32), y) for y, _, r, s in rows], settings)
         yield pd.DataFrame({"folded": [model.folded.tobytes()], "bias": [model.bias]})
 
     sample = training_rows(docs, labels, where, settings).repartition(1)
