@@ -11,9 +11,10 @@ from casemill import constants as C
 from casemill import schemas
 from casemill.functions import documents as DF
 from casemill.functions import rules as R
-from casemill.operators import bm25, bootstrap, chunks, classifier, documents, fusion, labels, metrics
+from casemill.operators import answers, bm25, bootstrap, chunks, classifier, documents, fusion, labels, metrics, ordering
+from casemill.sources import files
 from casemill.sources.session import written
-from casemill.sources.tables import load_table, optional_table, replace_table
+from casemill.sources.tables import append_runs, load_table, optional_table, replace_table
 
 
 class Tables:
@@ -32,8 +33,7 @@ class Tables:
         return optional_table(self.spark, self.path(name), schema)
 
     def replace(self, df: DataFrame, name: str, partition_by: Sequence[str] = ()) -> DataFrame:
-        # a table may be rebuilt from itself, so its rows are complete before the old files go
-        replace_table(written(df), self.path(name), partition_by)
+        replace_table(df, self.path(name), partition_by)
         return self.read(name)
 
 
@@ -102,11 +102,82 @@ def score_predictions(t: Tables, reps: int = 2000) -> dict[str, DataFrame]:
             "intervals": bootstrap.intervals(bootstrap.resampled_macro_f1(rows, reps))}
 
 
+def score_test(t: Tables, models: Sequence[str], reps: int = 2000) -> dict[str, DataFrame]:
+    """Scores of several stored models on the same cases, and a wide table of their probabilities -> model.test_predictions.
+
+    ``models`` starts with the one that the others are compared with: the first of three against the other two gives the
+    expectations their values. Every model must predict every class.
+    """
+    rows = t.read("model.predictions", F.col("model").isin(*models))
+    odd = [r.series for r in metrics.class_set_mismatches(rows, models).limit(10).collect()]
+    if odd:
+        raise ValueError(f"not every model predicts {', '.join(odd)}")
+    names = [r.series for r in rows.select("series").distinct().orderBy("series").collect()]
+    wide = files.long_to_wide(rows, ["case_no"], [f"{m}:{s}" for m in models for s in names])
+    contrasts = [(models[0], m) for m in models[1:]]
+    resampled = written(bootstrap.resampled_macro_f1(rows, reps))
+    intervals = written(bootstrap.intervals(resampled, contrasts))
+    gains = F.create_map(*[F.lit(x) for (a, b), name in zip(contrasts, C.EXPECTATIONS) for x in (f"{a} minus {b}", name)])
+    named = intervals.select(F.try_element_at(gains, F.col("name")).alias("name"), "value").filter("name is not null")
+    macro = metrics.macro_f1(metrics.class_scores(rows))
+    return {"macro": macro, "intervals": intervals, "verdicts": metrics.verdicts(named), "wide": t.replace(wide, "model.test_predictions")}
+
+
+def compare_inputs(t: Tables, whole: str, facts: str, n: int = 300, seed: int = 6, reps: int = 2000) -> DataFrame:
+    """Macro-F1 of a model on summaries and on facts, for one seeded sample of the cases that have both, with intervals."""
+    rows = t.read("model.predictions", F.col("model").isin(whole, facts))
+    both = rows.groupBy("case_no").agg(F.count_distinct("model").alias("n")).filter("n = 2").select("case_no")
+    sample = ordering.seeded_sample(both, n, F.xxhash64(F.lit(seed), F.col("case_no")), "case_no")
+    shared = written(rows.join(sample, "case_no", "left_semi"))
+    return bootstrap.intervals(bootstrap.resampled_macro_f1(shared, reps), [(facts, whole)])
+
+
+def store_answers(t: Tables, raw: DataFrame) -> DataFrame:
+    """New raw answers -> answers; a stored item, model and prompt is not stored again."""
+    append_runs(answers.answered(raw), t.path("answers"), ["kind", "item_id", "split", "model", "prompt"])
+    return t.read("answers")
+
+
+def open_judgments(t: Tables, model: str, prompt: str) -> DataFrame:
+    """Stored answers that have no judgment under the model and prompt."""
+    return answers.to_judge(t.read("answers"), t.read_or_empty("judgments", schemas.JUDGMENTS), model, prompt)
+
+
+def store_judgments(t: Tables, rows: DataFrame) -> DataFrame:
+    """New judgments -> judgments, each once."""
+    append_runs(rows.select(*schemas.JUDGMENTS.names), t.path("judgments"), ["item_id", "split", "model", "prompt", "answer_prompt"])
+    return t.read("judgments")
+
+
 def index_rulebook(t: Tables) -> DataFrame:
     """raw.rulebook_pages with page_order -> chunks."""
     return t.replace(chunks.numbered_chunks(t.read("raw.rulebook_pages")), "chunks")
 
 
+def evaluate_retrievers(t: Tables, split: str = "validation", k: int = C.TOP_K) -> DataFrame:
+    """Hit rate and MRR of BM25, vectors and their fusion over the conduct rules.
+
+    Vectors are stored outputs of one embedding model: raw.chunk_vectors (chunk_id, embedding) for every chunk and
+    raw.query_vectors (case_no, embedding) for every case of the split; a case without one is not scored by any retriever.
+    """
+    vectors = t.read("raw.query_vectors").select("case_no", "embedding")
+    cases = written(t.read("model.dataset", F.col("split") == split).select(
+        "case_no", DF.query_text(F.col("masked_text")).alias("query"), R.rulebook_rules_of(F.col("rules")).alias("gold"))
+        .filter(F.size("gold") > 0).join(vectors, "case_no"))
+    book = written(t.read("chunks").drop("embedding").join(t.read("raw.chunk_vectors").select("chunk_id", "embedding"), "chunk_id"))
+    labels.require_complete(t.read("chunks"), book, "chunk_id")
+    text = F.concat_ws(" ", "title", "text")
+    scores = written(bm25.search(book.select("chunk_id", text.alias("text")), "chunk_id", F.col("text"), cases, "case_no", F.col("query")))
+    lists = {"bm25": fusion.top_rules(scores, book, cases, "case_no", k, conduct_only=True),
+             "dense": fusion.dense_rules(book, cases, "case_no", k, conduct_only=True),
+             "hybrid": fusion.hybrid_rules(scores, book, cases, "case_no", k, conduct_only=True)}
+    ranked = None
+    for name, rows in lists.items():
+        named = rows.select(F.lit(name).alias("retriever"), "case_no", "rule", "rank")
+        ranked = named if ranked is None else ranked.unionByName(named)
+    return fusion.hit_rates(fusion.retrieval_hits(ranked, cases.select("case_no", "gold"), "case_no"))
+
+
 def evaluate_search(t: Tables, split: str = "validation", k: int = C.TOP_K) -> DataFrame:
     """Hit rate and MRR of BM25 over the conduct rules, for the split's cases charged with a Rulebook rule."""
     cases = t.read("model.dataset", F.col("split") == split).select(

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import uuid
+
 from collections.abc import Sequence
 
 from pyspark.errors import AnalysisException
@@ -29,8 +31,20 @@ def spread(df: DataFrame, *keys: str) -> DataFrame:
 
 
 def replace_table(df: DataFrame, path: str, partition_by: Sequence[str] = ()) -> None:
-    writer = df.write.mode("overwrite")
-    (writer.partitionBy(*partition_by) if partition_by else writer).parquet(path)
+    """Write the rows beside the table, then swap the folders; ``df`` may read the table that it replaces.
+
+    Until the swap the old table is whole, and a failure between the two renames leaves it under ``.old``.
+    """
+    staged, old = f"{path}.new-{uuid.uuid4().hex}", f"{path}.old-{uuid.uuid4().hex}"
+    (df.write.partitionBy(*partition_by) if partition_by else df.write).parquet(staged)
+    context = df.sparkSession.sparkContext
+    at = context._jvm.org.apache.hadoop.fs.Path
+    files = at(path).getFileSystem(context._jsc.hadoopConfiguration())
+    had = files.exists(at(path))
+    if had and not files.rename(at(path), at(old)) or not files.rename(at(staged), at(path)):
+        raise OSError(f"could not put {staged} in the place of {path}")
+    if had:
+        files.delete(at(old), True)
 
 
 def optional_table(spark: SparkSession, path: str, schema: StructType) -> DataFrame:

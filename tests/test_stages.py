@@ -49,3 +49,20 @@ def test_from_reports_to_scores(spark, tmp_path):
     assert stages.index_rulebook(t).count() == 2
     rates = stages.evaluate_search(t).first()
     assert (rates.cases, rates.hit_rate, rates.mrr) == (20, 1.0, 1.0)
+    by_rule = {"2111": [1.0, 0.0], "3110": [0.0, 1.0]}
+    spark.createDataFrame([(r.chunk_id, by_rule[r.rule_no]) for r in t.read("chunks").collect()], "chunk_id long, embedding array<float>").write.parquet(t.path("raw.chunk_vectors"))
+    spark.createDataFrame([(r.case_no, by_rule["3110" if "3110" in r.rules else "2111"]) for r in data.collect()],
+                          "case_no string, embedding array<float>").write.parquet(t.path("raw.query_vectors"))
+    rates = {r.retriever: (r.cases, r.hit_rate, r.mrr) for r in stages.evaluate_retrievers(t).collect()}
+    assert rates == {name: (20, 1.0, 1.0) for name in ("bm25", "dense", "hybrid")}
+    base = t.read("model.predictions")
+    n_series = base.select("series").distinct().count()
+    wrong = base.selectExpr("case_no", "'other' AS model", "series", "y", "1 - p AS p")
+    third = base.selectExpr("case_no", "'third' AS model", "series", "y", "p")
+    t.replace(base.unionByName(wrong).unionByName(third), "model.predictions")
+    scored = stages.score_test(t, ["baseline", "other", "third"], 20)
+    assert {r.name: r.value for r in scored["intervals"].collect()}["baseline minus other"] == 1.0
+    assert sorted(r.verdict for r in scored["verdicts"].collect()) == ["Failed", "Met"]
+    assert scored["wide"].count() == 20 and len(scored["wide"].columns) == 1 + 3 * n_series
+    both = {r.name: r.value for r in stages.compare_inputs(t, "baseline", "other", 10, reps=5).collect()}
+    assert both["other minus baseline"] == -1.0
