@@ -153,11 +153,20 @@ def quantiles(df: DataFrame, value: str, at: Sequence[float], by: Sequence[str]
     return grouped.select(*by, "n", *[F.get("_q", F.lit(i)).alias(n) for i, n in enumerate(names)])
 
 
+def _months(spark, start: str, end: str, month: str) -> DataFrame:
+    first, last = F.to_date(F.lit(start + "-01")), F.to_date(F.lit(end + "-01"))
+    days = spark.range(1).select(F.explode(F.sequence(first, last, F.expr("interval 1 month"))).alias("d"))
+    return days.select(F.date_format("d", "yyyy-MM").alias(month))
+
+
 def gaps_by_month(found: DataFrame, start: str, end: str, month: str = "month") -> DataFrame:
     """Months from start to end (YYYY-MM) that have no row."""
-    spark = found.sparkSession
-    first, last = F.to_date(F.lit(start + "-01")), F.to_date(F.lit(end + "-01"))
-    wanted = spark.range(1).select(F.explode(F.sequence(first, last, F.expr("interval 1 month"))).alias("d"))
-    wanted = wanted.select(F.date_format("d", "yyyy-MM").alias(month))
-    return wanted.join(found.select(month).distinct(), month, "left_anti")
+    return _months(found.sparkSession, start, end, month).join(found.select(month).distinct(), month, "left_anti")
+
+
+def month_coverage(found: DataFrame, start: str, end: str, is_pdf: Column, month: str = "month") -> DataFrame:
+    """How many months there are from start to end, how many have a source, and how many of those a PDF or only a page."""
+    best = found.groupBy(month).agg(F.bool_or(is_pdf).alias("_pdf"))
+    return _months(found.sparkSession, start, end, month).join(best, month, "left").agg(
+        F.count("*").alias("expected"), F.count("_pdf").alias("found"), F.count_if(F.col("_pdf")).alias("pdf"), F.count_if(~F.col("_pdf")).alias("page"))
 

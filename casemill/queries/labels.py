@@ -308,6 +308,15 @@ def month_gaps(spark, d):
     return M.gaps_by_month(found, "1994-01", "2002-12")
 
 
+@query("""WITH w AS (SELECT strftime(d, '%Y-%m') AS month FROM range(DATE '1994-01-01', DATE '2003-01-01', INTERVAL 1 MONTH) t(d)),
+  f AS (SELECT strftime(o_orderdate, '%Y-%m') AS month, bool_or(day(o_orderdate) = 31) AS pdf FROM orders GROUP BY 1)
+  SELECT count(*) AS expected, count(f.month) AS found, count(*) FILTER (WHERE pdf) AS pdf, count(*) FILTER (WHERE NOT pdf) AS page FROM w LEFT JOIN f USING (month)""")
+def month_coverage(spark, d):
+    """A month with an order on its 31st counts as one with a PDF."""
+    found = D.table(spark, d, "orders").select(F.date_format("o_orderdate", "yyyy-MM").alias("month"), F.dayofmonth("o_orderdate").alias("day"))
+    return M.month_coverage(found, "1994-01", "2002-12", F.col("day") == 31)
+
+
 @query("""SELECT o_orderpriority, count(*) FILTER (WHERE o_orderstatus = 'F') AS "F", count(*) FILTER (WHERE o_orderstatus = 'O') AS "O",
   count(*) FILTER (WHERE o_orderstatus = 'P') AS "P", count(*) AS total FROM orders GROUP BY o_orderpriority""")
 def crosstab(spark, d):

@@ -196,17 +196,17 @@ def retrieval_report(spark, d):
 @query(_GOLD + f""", scored AS (SELECT DISTINCT s.item_id, len(list_filter(regexp_split_to_array(s.text, '{_WS}'), lambda x: x <> '')) AS w FROM searches s JOIN hits h ON s.item_id = h.item_id),
   r AS (SELECT item_id, row_number() OVER (ORDER BY w, item_id) - 1 AS r, count(*) OVER () AS n FROM scored),
   thirds AS (SELECT item_id, CASE WHEN 3 * r < n - 1 THEN 'short' WHEN 3 * r < 2 * (n - 1) THEN 'medium' ELSE 'long' END AS third FROM r)
-  SELECT retriever, third, count(*) AS cases, round(avg(CASE WHEN first IS NOT NULL THEN 1 ELSE 0 END), 6) AS hit_rate FROM hits h JOIN thirds t ON h.item_id = t.item_id GROUP BY 1, 2""")
+  SELECT retriever, third, count(*) AS cases, round(avg(CASE WHEN first IS NOT NULL THEN 1 ELSE 0 END), 6) AS hit_rate, round(avg(coalesce(1 / first, 0)), 6) AS mrr FROM hits h JOIN thirds t ON h.item_id = t.item_id GROUP BY 1, 2""")
 def hits_by_length(spark, d):
     hits, _, _, searches = _hits(spark, d)
-    return FU.hits_by_length(hits, searches, "item_id", "q").select("retriever", "third", "cases", D.r6("hit_rate").alias("hit_rate"))
+    return FU.hits_by_length(hits, searches, "item_id", "q").select("retriever", "third", "cases", D.r6("hit_rate").alias("hit_rate"), D.r6("mrr").alias("mrr"))
 
 
 @query(_GOLD + """, s AS (SELECT DISTINCT item_id, 'FINRA:' || CAST(CAST(g AS INTEGER) // 1000 * 1000 AS VARCHAR) AS series FROM (SELECT item_id, unnest(gold) AS g FROM gold))
-  SELECT retriever, series, count(*) AS cases, round(avg(CASE WHEN first IS NOT NULL THEN 1 ELSE 0 END), 6) AS hit_rate FROM hits h JOIN s ON h.item_id = s.item_id GROUP BY 1, 2""")
+  SELECT retriever, series, count(*) AS cases, round(avg(CASE WHEN first IS NOT NULL THEN 1 ELSE 0 END), 6) AS hit_rate, round(avg(coalesce(1 / first, 0)), 6) AS mrr FROM hits h JOIN s ON h.item_id = s.item_id GROUP BY 1, 2""")
 def hits_by_series(spark, d):
     hits, gold, _, _ = _hits(spark, d)
-    return FU.hits_by_series(hits, gold, "item_id").select("retriever", "series", "cases", D.r6("hit_rate").alias("hit_rate"))
+    return FU.hits_by_series(hits, gold, "item_id").select("retriever", "series", "cases", D.r6("hit_rate").alias("hit_rate"), D.r6("mrr").alias("mrr"))
 
 
 @query(_GOLD + """, slots AS (SELECT t.retriever, CASE WHEN CAST(rule AS INTEGER) < 9000 THEN 'conduct rules (0100-8000)' ELSE 'Code of Procedure (9000)' END AS part
