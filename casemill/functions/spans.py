@@ -33,14 +33,18 @@ def marked(text: Column, pattern: str | Column, groups: bool = True) -> Column:
     return let(F.regexp_replace(text, regex, F.lit(replacement)), lambda done: F.when(done != text, done))
 
 
+def offsets(parts: Column) -> Column:
+    """Where each part begins in the joined text, from one pass over the lengths."""
+    return F.aggregate(
+        parts, F.struct(F.lit(0).alias("at"), empty_array("int").alias("starts")),
+        lambda acc, part: F.struct((acc["at"] + F.length(part)).alias("at"), F.concat(acc["starts"], F.array(acc["at"])).alias("starts")),
+        lambda acc: acc["starts"])
+
+
 def spans_in(marked_text: Column) -> Column:
     """``array<struct<start,end,head,body,tail>>`` of a marked text: 0-based, end-exclusive offsets."""
     def build(parts: Column) -> Column:
-        offsets = F.aggregate(
-            parts, F.struct(F.lit(0).alias("at"), empty_array("int").alias("starts")),
-            lambda acc, part: F.struct((acc["at"] + F.length(part)).alias("at"), F.concat(acc["starts"], F.array(acc["at"])).alias("starts")),
-            lambda acc: acc["starts"])
-        return let(offsets, lambda starts: spans(parts, starts))
+        return let(offsets(parts), lambda starts: spans(parts, starts))
 
     def spans(parts: Column, starts: Column) -> Column:
         def span(i: Column) -> Column:

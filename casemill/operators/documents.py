@@ -12,8 +12,9 @@ from casemill.functions import citations as CT
 from casemill.functions import documents as D
 from casemill.functions import reports as RP
 from casemill.functions import rules as R
-from casemill.functions.arrays import collapse_space, joined
+from casemill.functions.arrays import collapse_space, joined, let
 from casemill.functions.patterns import MIN_TITLE_CHARS
+from casemill.functions.spans import offsets
 from casemill.operators.ordering import first_with_result, keep_latest
 from casemill.sources.session import written
 
@@ -71,8 +72,9 @@ def leak_audit(df: DataFrame, text: str = "masked_text", key: str = "case_no", a
     hits = hits.filter(F.col("leak").isNotNull())
     # occurrences of the hit as a plain string, found left to right without overlap
     pieces = F.split(F.col(text), F.concat(F.lit("\\Q"), F.col("leak"), F.lit("\\E")))
-    rows = hits.select(key, text, "leak", F.posexplode(F.slice(pieces, 1, F.size(pieces) - 1)).alias("nth", "gap"), pieces.alias("p"))
-    start = F.length(F.array_join(F.slice("p", 1, F.col("nth") + 1), "")) + F.col("nth") * F.length("leak")
+    ends = let(pieces, lambda p: F.slice(offsets(p), 2, F.size(p) - 1))  # where the gap before each occurrence ends, without the leaks
+    rows = hits.select(key, text, "leak", F.posexplode(ends).alias("nth", "gap_end"))
+    start = F.col("gap_end") + F.col("nth") * F.length("leak")
     begin = F.greatest(start - around, F.lit(0))
     return rows.select(key, "leak", "nth", F.substring(
         F.col(text), begin + 1, start - begin + F.length("leak") + around).alias("context"))
