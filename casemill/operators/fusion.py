@@ -108,9 +108,11 @@ def hybrid_rules(scores: DataFrame, chunks: DataFrame, queries: DataFrame, query
     the chunks within that depth of either ranking are the candidates, their exact ranks are counted, and the
     result equals fusing the full rankings without building them. Where that depth exceeds ``max_depth`` (one
     rule's chunks fill the top of the list), the query's whole rankings are fused instead, as a distributed
-    sort. ``chunk_id`` must run from 0 in order.
+    sort. ``chunk_id`` must run from 0 in order; anything else is an error.
     """
-    n = chunks.count()
+    n, low, high, ids = chunks.agg(F.count("*"), F.min("chunk_id"), F.max("chunk_id"), F.count_distinct("chunk_id")).first()
+    if n and (low, high, ids) != (0, n - 1, n):
+        raise ValueError("chunk_id must run from 0 without gaps or repeats")
     listed = dense_rules(chunks, queries, query_id, k, conduct_only)
     last = written(listed.groupBy(query_id).agg(F.max("rank").alias("found"), F.max_by("chunk_id", "rank").alias("chunk_id")))
     last_rank = dense.better_counts(chunks, queries, last, "chunk_id", query_id)
@@ -127,7 +129,7 @@ def hybrid_rules(scores: DataFrame, chunks: DataFrame, queries: DataFrame, query
     if not parts:
         return listed.select(query_id, "chunk_id", "rule", "score", "rank")
     both = parts[0] if len(parts) == 1 else parts[0].unionByName(parts[1])
-    fused = F.round(1 / (rrf_k + F.col("w")) + 1 / (rrf_k + F.col("d")), 12)
+    fused = F.round(1 / (rrf_k + F.col("w")) + 1 / (rrf_k + F.col("d")), 15)  # far below the distance of neighbouring ranks, far above what doubles round
     book = searchable(chunks, conduct_only).select("chunk_id", R.base_rule(F.col("rule_no")).alias("rule"))
     scored = both.join(book, "chunk_id").withColumn("score", fused)
     return _top_rules(scored, query_id, k).select(query_id, "chunk_id", "rule", "score", "rank")

@@ -140,7 +140,7 @@ _VEC = """vecs AS (SELECT vec_id, label, list_transform(embedding, lambda x: CAS
 _BOTH = _search_sql("SELECT chunk_id AS id, text FROM vchunks", "SELECT item_id AS q, text FROM searches").replace("WITH ", "WITH " + _VEC + ", ", 1) + """,
   full_words AS (SELECT d.item_id, d.chunk_id, coalesce(s.score, 0) AS ws, d.score AS ds FROM dense d LEFT JOIN scores s ON s.q = d.item_id AND s.id = d.chunk_id),
   ranks AS (SELECT *, row_number() OVER (PARTITION BY item_id ORDER BY ws DESC, chunk_id) AS w, row_number() OVER (PARTITION BY item_id ORDER BY ds DESC, chunk_id) AS dr FROM full_words),
-  fused AS (SELECT item_id, chunk_id, ws, ds, round(1 / (60 + w) + 1 / (60 + dr), 12) AS hs FROM ranks),
+  fused AS (SELECT item_id, chunk_id, ws, ds, round(1 / (60 + w) + 1 / (60 + dr), 15) AS hs FROM ranks),
   three AS (SELECT 'bm25' AS retriever, item_id, chunk_id, ws AS score FROM fused UNION ALL SELECT 'dense', item_id, chunk_id, ds FROM fused
     UNION ALL SELECT 'hybrid', item_id, chunk_id, hs FROM fused),
   best AS (SELECT t.*, c.rule, row_number() OVER (PARTITION BY retriever, item_id, c.rule ORDER BY score DESC, t.chunk_id) AS b FROM three t JOIN vchunks c ON t.chunk_id = c.chunk_id WHERE c.conduct),
