@@ -19,6 +19,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import LongType
 
+from casemill.llm import resemblance
 from casemill.llm.components import components
 from casemill.sources.session import written
 
@@ -134,16 +135,18 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
 
 
 def deduplicated(docs: DataFrame) -> DataFrame:
-    """One row of each group, with all columns of ``docs``: the smallest id (nulls last), then the smallest fingerprint.
+    """One row of each group of near copies (``resemblance``: five-word shingles, similarity 0.8), with all columns of
+    ``docs``: the smallest id (nulls last), then the smallest digest.
 
-    Of rows equal in both, one stays. Texts are read once for the fingerprint and once for the rows that stay.
+    Of rows equal in both, one stays. Null and empty texts are one group.
     """
     names = docs.columns
     whole = F.struct(*[F.col(f"`{c}`") for c in names]).alias("row")  # nested, so no column name can clash
-    marked = written(docs.select(whole, F.col("doc_id").alias("key"), fingerprint("text").alias("fp")))
-    first = marked.groupBy("fp").agg(F.min(F.struct(F.col("key").isNull().alias("none"), "key", "fp")).alias("first"))
-    roots = groups(marked)
-    keepers = (roots.join(first, "fp").groupBy("root").agg(F.min("first").alias("first"))
-               .select(F.col("first.key").alias("keep"), F.col("first.fp").alias("keep_fp")))
-    stay = marked.join(keepers, marked.fp.eqNullSafe(F.col("keep_fp")) & marked.key.eqNullSafe(F.col("keep")), "left_semi")
-    return stay.groupBy("key", "fp").agg(F.first("row").alias("row")).select("row.*")
+    marked = written(docs.select(whole, F.col("doc_id").alias("key"), resemblance.entry("text").alias("e"))
+                     .select("row", "key", "e.copy", "e.n", "e.keys"))
+    first = marked.groupBy("copy").agg(F.min(F.struct(F.col("key").isNull().alias("none"), "key", "copy")).alias("first"))
+    roots = resemblance.groups(marked.select("copy", "n", "keys", "row.text"))
+    keepers = (roots.join(first, "copy").groupBy("root").agg(F.min("first").alias("first"))
+               .select(F.col("first.key").alias("keep"), F.col("first.copy").alias("keep_copy")))
+    stay = marked.join(keepers, marked["copy"].eqNullSafe(F.col("keep_copy")) & marked.key.eqNullSafe(F.col("keep")), "left_semi")
+    return stay.groupBy("key", "copy").agg(F.first("row").alias("row")).select("row.*")
