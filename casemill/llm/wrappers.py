@@ -59,35 +59,53 @@ TOKEN = re.compile(
     r"|<(?P<raw>" + "|".join(RAW) + r")\b(?:[^>\"']|\"[^\"]*\"|'[^']*')*+>.*?(?:</(?P=raw)\s*>|\Z)"
     r"|<(?P<end>/?)(?P<tag>[a-zA-Z][^\s/>]*)(?P<attrs>(?:[^>\"']|\"[^\"]*\"|'[^']*')*+|[^>]*)(?:>|\Z)"
     r"|(?P<text>[^<]+|<)", re.S | re.I)
-ATTRIBUTE = re.compile(r"(?:^|\s)(?:class|id|role)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+))", re.I)
-HIDDEN = re.compile(r"(?:^|[\s-])hidden\b|display\s*:\s*none", re.I)
+ATTRIBUTE = re.compile(r"([^\s=\"'>/]+)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+)))?")
+NO_DISPLAY = re.compile(r"(?:^|;)\s*display\s*:\s*none\b", re.I)
 WORD = re.compile(r"[a-z]+")
+#: Blocks that are text, whatever their names say; of containers in an article, only these are judged by their names.
+PROSE = frozenset("h1 h2 h3 h4 h5 h6 p pre blockquote".split())
+NAMED = frozenset("div section ul ol table article main".split())
 
 
 def label_of(tag: str, attributes: str) -> str:
-    """The tag with the words of its class, id and role; digits are left out, so numbered names are one name. What is
-    not shown gets the word ``hidden``."""
-    words = [w for m in ATTRIBUTE.finditer(attributes) for w in WORD.findall(html.unescape(m[1] or m[2] or m[3] or "").lower())] if attributes else []
-    if attributes and HIDDEN.search(attributes):
-        words.append("hidden")
-    return ".".join([tag, *dict.fromkeys(words)])
+    """The tag with the names of its class, id and role, the words of a name joined by ``-``; digits are left out, so
+    numbered names are one name. An id starts with ``=``. What is not shown gets the name ``!``."""
+    names = []
+    for m in ATTRIBUTE.finditer(attributes or ""):
+        key, value = m[1].lower(), html.unescape(m[2] or m[3] or m[4] or "")
+        if key in ("class", "id", "role"):
+            names += ["=" * (key == "id") + "-".join(words) for name in value.lower().split() if (words := WORD.findall(name))]
+        elif key == "hidden" or key == "style" and NO_DISPLAY.search(value) or key == "aria-hidden" and value.strip().lower() == "true":
+            names.append("!")
+    return ".".join([tag, *dict.fromkeys(names)])
+
+
+def words_of(names: list[str]) -> set[str]:
+    """The words of names; ``hidden`` counts only as a whole name."""
+    found = {w for n in names for w in n.lstrip("=").split("-")}
+    return found if "hidden" in names or "=hidden" in names else found - {"hidden"}
 
 
 def is_aside(label: str, in_article: bool = False) -> bool:
-    """A container beside the article. A header counts as one only outside the article: inside it has the title."""
-    tag, *words = label.split(".")
-    if tag in ASIDE or tag == "header" and not in_article:
+    """A container beside the article. A header counts as one only outside the article: inside it has the title. Inside,
+    an aside word must be a whole name, and the id of a section is an anchor unless it names comments or the like."""
+    tag, *names = label.split(".")
+    if "!" in names or tag in ASIDE or tag == "header" and not in_article:
         return True
     if tag in MAIN:
-        return bool(NOT_ARTICLE.intersection(words))
-    if tag in ("html", "body") or LAYOUT.intersection(words) and "hidden" not in words:
-        return "hidden" in words
-    return bool(ASIDE_WORDS.intersection(words) - ({"header"} if in_article else set()))
+        return bool(NOT_ARTICLE.intersection(words_of(names)))
+    if tag in ("html", "body") or tag in PROSE or in_article and tag not in NAMED:
+        return False
+    if LAYOUT.intersection(words_of(names)):
+        return False
+    if in_article:
+        return any(n.lstrip("=") in (NOT_ARTICLE if tag == "section" and n[0] == "=" else ASIDE_WORDS) for n in names)
+    return bool(ASIDE_WORDS.intersection(words_of(names)))
 
 
 def is_main(label: str) -> bool:
-    tag, *words = label.split(".")
-    return tag in MAIN or tag in ("div", "section", "td") and bool(MAIN_WORDS.intersection(words)) and not is_aside(label)
+    tag, *names = label.split(".")
+    return tag in MAIN or tag in ("div", "section", "td") and bool(MAIN_WORDS.intersection(words_of(names))) and not is_aside(label)
 
 
 def blocks(page: str | None) -> Iterator[tuple[tuple[str, ...], str]]:

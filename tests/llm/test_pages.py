@@ -150,3 +150,13 @@ def test_licences(spark):
     assert got[1][0] == "MIT" and got[2] == ("Apache-2.0", None, "p/a") and got[5][0] == "MIT" and got[8] == ("MIT", None, "p") and got[9] == ("Apache-2.0", None, "p/a")
     assert got[4] == got[6] == got[7] == got[10] == (None, None, None)
     assert licenses.scan(files.limit(0), licenses.templates(spark)).count() == 0
+
+
+@pytest.mark.parametrize("body, want", [
+    ("<main style='overflow: hidden' class='overflow-hidden' aria-hidden='false'><article class='x-hidden'><p>seen</p></article></main>", "seen"),
+    ("<article><h2 id='related-work'>Related work</h2><section id='search'><p class='alert'>found</p></section><div class='side-effects'>none</div></article>", "Related work found none"),
+    ("<article><p>a</p><div aria-hidden='true'>b</div><div class='share'>c</div><p hidden>d</p><section id='comments'>e</section></article>", "a"),
+])
+def test_hidden_and_names_in_an_article(body, want):
+    page = f"<body class='overflow-hidden'>{body}</body>"
+    assert wrappers.main_text(page, wrappers.article_paths(wrappers.merged([wrappers.render(wrappers.shape(page))]))) == want
