@@ -260,8 +260,8 @@ def merged(texts: Iterable[str]) -> str:
 
 
 def article_paths(wrapper: str) -> list[str]:
-    """Container paths that hold the article, best kind first: marked containers; else the container, beside no menu or
-    the like, with most repeated or optional paragraphs and headings; else the body."""
+    """Container paths that hold the article: all marked containers; last, for pages without them, the container that
+    holds every text slot not beside the article."""
     marked, plain = [], []
 
     def walk(node: Node, path: tuple[str, ...]) -> None:
@@ -269,34 +269,47 @@ def article_paths(wrapper: str) -> list[str]:
         if node[0] and is_aside(node[0]):
             return
         if node[0] and is_main(node[0]):
-            marked.append("/".join(here))
-        weight = sum((3 if c[1] else 1) * (2 if c[0].split(".")[0] in ("p", "blockquote", "pre") else 1)
-                     for c in node[2] if c[0] == "#" or c[0].split(".")[0] in ("p", "h1", "h2", "h3", "h4", "blockquote", "pre", "ul", "ol"))
-        if node[0] and weight:
-            plain.append((-weight, len(here), "/".join(here)))
+            marked.append(here)
+        if any(c[0] == "#" for c in node[2]):
+            plain.append(here)
         for c in node[2]:
             if c[0] != "#":
                 walk(c, here)
 
     walk(parse(wrapper), ())
-    own = sorted({p for p in marked if p.split("/")[-1].split(".")[0] in MAIN}, key=lambda p: (p.split("/")[-1].split(".")[0] != "article", p))
-    outer = [p for p in own if not any(p.startswith(q + "/") for q in own if q.split("/")[-1].split(".")[0] == "article")]
-    return list(dict.fromkeys([*outer, *(p for p in sorted(marked) if p not in own), *(p for _, _, p in sorted(plain)[:1])]))
+    common = plain[0] if plain else ()
+    for p in plain:
+        common = common[:next((i for i, (x, y) in enumerate(zip(common, p)) if x != y), min(len(common), len(p)))]
+    paths = sorted(set(marked)) + [common] * bool(common)
+    return list(dict.fromkeys("/".join(p) for p in paths))
 
 
 def main_text(page: str | None, paths: list[str]) -> str:
-    """Text of the first kind of article container that the page has, in page order, without containers beside it.
+    """Text of all outermost article containers that the page has, in page order, without containers beside the article.
 
-    Of paths that end in the same tag all count (several articles on one page); without any of them the whole body does.
+    In a container that holds article tags, only what is inside one of them is judged as in an article. Pages without a
+    marked container give the text of the unmarked one, and if they have none of it, that of the body.
     """
     places = [(place, text) for place, text in blocks(page) if text]
-    wanted = [tuple(p.split("/")) for p in paths]
-    for n, first in enumerate(wanted):
-        kind = first[-1].split(".")[0]
-        same = [p for p in wanted[n:] if kind in MAIN and p[-1].split(".")[0] == kind] or [first]
-        depth = [(max((len(p) for p in same if place[:len(p)] == p), default=0), place, text) for place, text in places]
-        found = [text for n, place, text in depth if n and not any(is_aside(x, in_article=True) for x in place[n:])]
-        if found:
+    wanted = {tuple(p.split("/")) for p in paths}
+    marked = {p for p in wanted if is_main(p[-1])}
+    holders = {p[:n] for p in marked if p[-1].split(".")[0] == "article" for n in range(1, len(p))}
+
+    def in_marked(place: tuple[str, ...]) -> bool:
+        start = next((n for n in range(1, len(place) + 1) if place[:n] in marked), 0)
+        if not start:
+            return False
+        own = next((n for n in range(start, len(place) + 1) if place[n - 1].split(".")[0] == "article"), len(place) + 1)
+        site = place[:start] in holders
+        return not any(is_aside(x, in_article=not site or n >= own) for n, x in enumerate(place[start:], start))
+
+    def in_plain(place: tuple[str, ...]) -> bool:
+        start = next((n for n in range(1, len(place) + 1) if place[:n] in wanted), 0)
+        return start > 0 and not any(is_aside(x, in_article=x.split(".")[0] == "header" and place[n - 1].split(".")[0] not in ("html", "body"))
+                                     for n, x in enumerate(place[start:], start))
+
+    for inside in (in_marked, in_plain):
+        if found := [text for place, text in places if inside(place)]:
             return " ".join(found)
     return " ".join(text for place, text in places if not any(map(is_aside, place)))
 

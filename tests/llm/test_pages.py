@@ -160,3 +160,14 @@ def test_licences(spark):
 def test_hidden_and_names_in_an_article(body, want):
     page = f"<body class='overflow-hidden'>{body}</body>"
     assert wrappers.main_text(page, wrappers.article_paths(wrappers.merged([wrappers.render(wrappers.shape(page))]))) == want
+
+
+@pytest.mark.parametrize("body, want", [
+    ("<div class='post-meta'>date</div><div class='post-text'>article</div>", "date article"),
+    ("<section class='story-rest'>one</section><section class='story-intro'>two</section>", "one two"),
+    ("<nav>n</nav><div class='left'><p>one</p></div><div class='right'><p>two</p><p>three</p></div><div class='my-footer'>f</div>", "one two three"),
+    ("<main><header>site</header><article><header>T</header><p>x</p></article><p>rest</p></main>", "T x rest"),
+])
+def test_all_containers_of_an_article(body, want):
+    page = f"<body><header>site</header>{body}</body>"
+    assert wrappers.main_text(page, wrappers.article_paths(wrappers.merged([wrappers.render(wrappers.shape(page))]))) == want
