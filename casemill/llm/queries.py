@@ -7,7 +7,9 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from casemill.llm import licenses, packing, ppm, quality, simhash, subword, unigram, urlrules, vectors, wrappers
+from casemill.llm import (
+    licenses, merges, packing, ppm, quality, runs, simhash, subword, threads, unigram, urlrules, vectors, wrappers)
+from casemill.sources.session import written
 
 
 def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
@@ -159,6 +161,73 @@ SELECT doc_id, n_words::BIGINT AS n_words, word_chars::BIGINT AS word_chars, n_s
   (failed & 3) <> 0 AS base_failed, failed = 0 AS kept, failed FROM f
 """
 
+
+def op11_threads(spark: SparkSession, folder: str) -> DataFrame:
+    """Conversations that take their first turns from the first of their twenty."""
+    own = written(threads.sequences(table(spark, folder, "conversations")))
+    first = F.col("conv_id") - F.col("conv_id") % 20
+    heads = own.filter("conv_id % 20 = 0").select(
+        F.col("conv_id").alias("first"), F.substring("path", 1, 96).alias("head"), F.slice("words", 1, 3).alias("head_words"))
+    h = (F.crc32(F.col("conv_id").cast("string")) % 4).cast("int")
+    rebuilt = own.withColumn("first", first).withColumn("h", h).join(heads, "first", "left").select(
+        "conv_id",
+        F.concat(F.coalesce(F.substring("head", F.lit(1), 32 * F.col("h")), F.lit("")),
+                 F.substring("path", 32 * F.col("h") + 1, F.length("path"))).alias("path"),
+        F.concat(F.coalesce(F.slice("head_words", F.lit(1), F.col("h")), F.array().cast("array<int>")),
+                 F.slice("words", F.col("h") + 1, F.size("words"))).alias("words"))
+    return threads.nodes(rebuilt).drop("digest")
+
+
+OP11_SQL = r"""
+WITH s AS (SELECT conv_id, list({'role': coalesce(role, ''), 'text': coalesce(text, '')}
+  ORDER BY turn NULLS FIRST, md5(length(coalesce(role, ''))::VARCHAR || ':' || coalesce(role, '') || coalesce(text, ''))) AS own
+  FROM conversations WHERE conv_id IS NOT NULL GROUP BY conv_id),
+h AS (SELECT conv_id, own, xor(list_reduce(list_prepend(4294967295, list_transform(string_split(conv_id::VARCHAR, ''), lambda c: ascii(c)::BIGINT)),
+  lambda a, b: list_reduce(list_prepend(xor(a, b), range(8)), lambda x, i: xor(x >> 1, 3988292384 * (x & 1)))), 4294967295) % 4 AS h FROM s),
+r AS (SELECT h.conv_id, list_concat(coalesce(d.own[1:h], []), h.own[h + 1:]) AS turns
+  FROM h LEFT JOIN s d ON d.conv_id = h.conv_id - h.conv_id % 20),
+p AS (SELECT conv_id, d, turns[1:d] AS path, len(turns) = d AS ends FROM (SELECT conv_id, turns, unnest(range(len(turns) + 1)) AS d FROM r)),
+g AS (SELECT path, d, min(conv_id) AS conv_id, count(*) AS n_convs, (count(*) - 1) * CASE WHEN d = 0 THEN 0
+    ELSE len(regexp_extract_all(path[d].text, '[^\x20\x09-\x0D]+')) END AS saved,
+  sha256(coalesce(string_agg(conv_id::VARCHAR, ',' ORDER BY conv_id) FILTER (WHERE ends), '')) AS ends_sha256 FROM p GROUP BY path, d),
+c AS (SELECT path[1:d - 1] AS path, count(*) AS n_children, min(conv_id) AS smallest FROM g WHERE d > 0 GROUP BY ALL),
+k AS (SELECT g.*, coalesce(n_children, 0) AS n_children FROM g LEFT JOIN c USING (path)),
+a AS (SELECT path[1:i] AS path, sum(saved) AS saved_tokens, count(*) FILTER (WHERE n_children = 0) AS n_leaves
+  FROM (SELECT path, saved, n_children, unnest(range(d + 1)) AS i FROM k) GROUP BY ALL)
+SELECT k.conv_id, k.d AS depth, u.conv_id AS parent_conv_id, k.n_convs, k.n_children::BIGINT AS n_children, a.n_leaves::BIGINT AS n_leaves,
+  a.saved_tokens::BIGINT AS saved_tokens, k.ends_sha256
+FROM k JOIN a USING (path) LEFT JOIN g u ON k.d > 0 AND u.path = k.path[1:k.d - 1]
+"""
+
+
+def op12_merges(spark: SparkSession, folder: str) -> DataFrame:
+    path = public_tokenizers.path("byte_bpe_multi_50k.tiktoken")
+    back = merges.decode(merges.encode(table(spark, folder, "documents"), path), path)
+    return back.select("doc_id", F.expr("length(ids) div 4").cast("bigint").alias("n_tokens"), F.sha2("ids", 256).alias("ids_sha256"),
+                       F.sha2("text", 256).alias("decoded_sha256"))
+
+
+def op13_runs(spark: SparkSession, folder: str) -> DataFrame:
+    """Runs of all documents; every tenth hash makes a document periodic from a word of its own on."""
+    h = F.crc32(F.col("doc_id").cast("string"))
+    words = F.regexp_extract_all(F.col("text"), F.lit(threads.WORD), F.lit(0))
+    planted = table(spark, folder, "documents").select("doc_id", "text", h.alias("h"), F.when(h % 10 == 0, words).alias("words")).select(
+        "doc_id", "text", "words", F.size("words").cast("bigint").alias("n"), F.expr("h div 10").alias("g")).select(
+        "doc_id", "text", "words", "n", "g", F.when(F.col("n") > 0, F.col("g") % F.col("n")).alias("a")).select(
+        "doc_id", "text", "words", "n", "a", F.expr("1 + (n - a) div (3 + g % 8)").alias("p"))
+    place = F.transform(F.sequence(F.lit(0).cast("bigint"), F.col("n") - 1), lambda i: F.get("words", F.when(
+        i < F.col("a"), i).otherwise(F.col("a") + (i - F.col("a")) % F.col("p")).cast("int")))
+    docs = planted.select("doc_id", F.when(F.col("n") > 0, F.array_join(place, " ")).otherwise(F.col("text")).alias("text"))
+    found = runs.collapse(docs)
+    best = F.aggregate(F.slice("runs", 2, F.greatest(F.size("runs"), F.lit(1))), F.get("runs", F.lit(0)), lambda b, r: F.when(
+        r["length"] * b["period"] > b["length"] * r["period"], r).otherwise(b))
+    lines = F.array_join(F.transform("runs", lambda r: F.concat(
+        r["start"].cast("string"), F.lit(","), r["length"].cast("string"), F.lit(","), r["period"].cast("string"), F.lit("\n"))), "")
+    return found.select("doc_id", F.size("runs").cast("bigint").alias("n_runs"), best.alias("best"), F.sha2(lines, 256).alias("runs_sha256"),
+                        F.sha2("collapsed", 256).alias("collapsed_sha256")).select(
+        "doc_id", "n_runs", "best.*", F.expr("1000 * best.length div best.period").alias("exponent_milli"), "runs_sha256", "collapsed_sha256")
+
+
 QUERIES = {
     "op1_main_text": (op1_main_text, OP1_SQL),
     "op2_url_rules": (op2_url_rules, OP2_SQL),
@@ -170,5 +239,8 @@ QUERIES = {
     "op8_quality": (op8_quality, None),
     "op9_licences": (op9_licences, OP9_SQL),
     "op10_rules": (op10_rules, OP10_SQL),
+    "op11_threads": (op11_threads, OP11_SQL),
+    "op12_merges": (op12_merges, None),
+    "op13_runs": (op13_runs, None),
     "pipeline": (corpus_pipeline.run, corpus_pipeline.ORACLE_SQL),
 }
