@@ -11,15 +11,15 @@ from collections.abc import Callable
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from casemill.functions.arrays import empty_array, let
+from casemill.functions.arrays import cut, empty_array, let, scan
 
-_EDGE, _INNER, _BLANK = "\x01", "\x02", "\x04"
+EDGE, INNER, _BLANK = "\x01", "\x02", "\x04"
 SPAN = "struct<start:int,end:int,head:string,body:string,tail:string>"
 
 
 def without_markers(text: Column) -> Column:
     """The text with marker characters blanked out; same length, so offsets hold."""
-    return F.translate(text, _EDGE + _INNER, _BLANK * 2)
+    return F.translate(text, EDGE + INNER, _BLANK * 2)
 
 
 def marked(text: Column, pattern: str | Column, groups: bool = True) -> Column:
@@ -28,17 +28,17 @@ def marked(text: Column, pattern: str | Column, groups: bool = True) -> Column:
     The pattern has three groups (head, body, tail) that together make up the match; with ``groups=False`` it
     needs none and the whole match is the body. The text must be free of markers (``without_markers``).
     """
-    replacement = _EDGE + (f"$1{_INNER}$2{_INNER}$3" if groups else f"{_INNER}$0{_INNER}") + _EDGE
+    replacement = EDGE + (f"$1{INNER}$2{INNER}$3" if groups else f"{INNER}$0{INNER}") + EDGE
     regex = pattern if isinstance(pattern, Column) else F.lit(pattern)
     return let(F.regexp_replace(text, regex, F.lit(replacement)), lambda done: F.when(done != text, done))
 
 
 def offsets(parts: Column) -> Column:
-    """Where each part begins in the joined text, from one pass over the lengths."""
-    return F.aggregate(
-        parts, F.struct(F.lit(0).alias("at"), empty_array("int").alias("starts")),
-        lambda acc, part: F.struct((acc["at"] + F.length(part)).alias("at"), F.concat(acc["starts"], F.array(acc["at"])).alias("starts")),
-        lambda acc: acc["starts"])
+    """Where each part begins in the joined text."""
+    def begins(lengths: Column) -> Column:
+        ends = scan(lengths, lambda a, b: a + b, F.lit(0), "int")
+        return F.zip_with(ends, lengths, lambda end, length: end - length)
+    return let(F.transform(parts, F.length), begins)
 
 
 def spans_in(marked_text: Column) -> Column:
@@ -51,7 +51,7 @@ def spans_in(marked_text: Column) -> Column:
             # every second part is a match and carries two inner markers
             before = F.get(starts, i) - (i - 1)
             return let(
-                F.struct(before.alias("start"), F.split(F.get(parts, i), _INNER).alias("groups")),
+                F.struct(before.alias("start"), F.split(F.get(parts, i), INNER).alias("groups")),
                 lambda m: F.struct(
                     m["start"].alias("start"),
                     (m["start"] + F.length(F.get(parts, i)) - 2).alias("end"),
@@ -59,7 +59,7 @@ def spans_in(marked_text: Column) -> Column:
                     F.get(m["groups"], F.lit(1)).alias("body"),
                     F.get(m["groups"], F.lit(2)).alias("tail")))
         return F.transform(F.sequence(F.lit(1), F.size(parts) - 1, F.lit(2)), span)
-    return F.when(marked_text.isNull(), empty_array(SPAN)).otherwise(let(F.split(marked_text, _EDGE), build))
+    return F.when(marked_text.isNull(), empty_array(SPAN)).otherwise(let(F.split(marked_text, EDGE), build))
 
 
 def find_spans(text: Column, pattern: str | Column, groups: bool = True) -> Column:
@@ -70,9 +70,18 @@ def find_spans(text: Column, pattern: str | Column, groups: bool = True) -> Colu
 def splice(text: Column, spans: Column, replacement: Callable[[Column], Column]) -> Column:
     """The text with each of the ordered, disjoint spans replaced by ``replacement(span)``."""
     def rebuilt(s: Column) -> Column:
-        pieces = F.transform(s, lambda x, i: let(
-            F.coalesce(F.get(s, i - 1)["end"], F.lit(0)),
-            lambda begin: F.concat(F.substring(text, begin + 1, x["start"] - begin), replacement(x))))
-        rest = F.coalesce(F.get(s, F.size(s) - 1)["end"], F.lit(0))
-        return F.concat(F.array_join(pieces, ""), F.substring(text, rest + 1, F.length(text)))
+        def joined(between: Callable[[Column, Column], Column]) -> Column:
+            pieces = F.transform(s, lambda x, i: F.concat(
+                between(F.coalesce(F.get(s, i - 1)["end"], F.lit(0)), x["start"]), replacement(x)))
+            rest = F.coalesce(F.get(s, F.size(s) - 1)["end"], F.lit(0))
+            return F.concat(F.array_join(pieces, ""), between(rest, F.length(text)))
+        return F.when(F.size(s) == 0, text).otherwise(cut(text, joined))
     return let(spans, rebuilt)
+
+
+def replace_each(text: Column, pattern: str, replacement: Callable[[Column], Column]) -> Column:
+    """The text with every match of one pattern replaced by ``replacement(match)``; needs no offsets."""
+    def joined(done: Column) -> Column:
+        parts = F.transform(F.split(done, EDGE), lambda p, i: F.when(i % 2 == 1, replacement(F.replace(p, F.lit(INNER), F.lit("")))).otherwise(p))
+        return F.array_join(parts, "")
+    return F.coalesce(joined(marked(text, pattern, groups=False)), text)

@@ -2,49 +2,130 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
 
-from pyspark.sql import DataFrame
+import numpy as np
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from casemill import constants as C
 from casemill.operators.metrics import f1, predicted
-from casemill.operators.ordering import global_row_number, mixed
+from casemill.operators.ordering import global_row_number
 from casemill.sources.session import written
 
+#: Outcome patterns in one block, draws held at once, and draws made for one transfer of a block to a worker.
+BLOCK, DRAWS, PER_ROW = 65_536, 1_000_000, 64_000_000
+CODES = ("tp", "fp", "fn")
+_PRIME = 2147483647
+_FIELD, _ITEM = "\x1f", "\x1e"
 
-def draws(spark, n: int, reps: int, seed: int = 0) -> DataFrame:
-    """How often each case (0 .. n-1) is drawn in each of ``reps`` resamples of n cases."""
-    slot = F.col("id")
-    rep = F.floor(slot / n).cast("int")
-    case = F.pmod(mixed(slot + F.lit(seed) * 7919), F.lit(n))
-    return (spark.range(n * reps).select(rep.alias("rep"), case.alias("case_idx"))
-            .groupBy("rep", "case_idx").agg(F.count("*").alias("k")))
 
+def _mixed(value: np.ndarray) -> np.ndarray:
+    """``ordering.mixed`` for arrays."""
+    once = (value % _PRIME * 48271 + 11) % _PRIME
+    return (once * once + 12345) % _PRIME * 69621 % _PRIME
 
-def resampled_macro_f1(predictions: DataFrame, reps: int = 2000, seed: int = 0,
-                       min_support: int = C.MIN_SUPPORT) -> DataFrame:
-    """Macro-F1 per (rep, model), all models on the same draws; rep -1 is the full data.
 
-    A resample only needs how many of its cases show each outcome, and cases share outcomes (which classes
-    are right, missed or wrongly predicted, over all models). So the draws are counted per (rep, outcome)
-    and only then spread over models and classes: the product of draws, models and classes never exists.
-    The supported classes are fixed by the full data.
+def draws(rep: int, low: int, high: int, n: int, seed: int = 0) -> np.ndarray:
+    """Draws ``low`` to ``high - 1`` of resample ``rep``: numbers of cases below ``n`` (less than 2^31 - 1).
+
+    Draws are mixed once by their number and once more with the resample's own offset, so no resample is a
+    shifted copy of another however many draws there are.
+    """
+    own = _mixed(np.array([rep + 1 + seed * 7919], dtype=np.int64))
+    return _mixed(_mixed(np.arange(low, high, dtype=np.int64)) + own) % n
+
+
+def outcome_names(predictions: DataFrame) -> Column:
+    """All outcomes that can occur, as one array: model, class and code of each."""
+    names = predictions.select("model", "series").distinct().select(
+        F.explode(F.array(*[F.concat_ws(_FIELD, "model", "series", F.lit(c)) for c in CODES])).alias("name"))
+    return names.agg(F.sort_array(F.collect_list("name"))).scalar()
+
+
+def outcome_blocks(predictions: DataFrame, block: int = BLOCK) -> DataFrame:
+    """Cases numbered by outcome pattern, as intervals: ``block, first, n, k, owner, outcome``.
+
+    A pattern is which classes a case has right, missed or wrongly predicted, over all models. Case numbers run
+    through the patterns in order, so a pattern is an interval of numbers. Per block of patterns: the first case
+    number, the number of cases, the intervals' lengths ``k``, and which interval has which outcome, both as numbers
+    (places in the block and in ``outcome_names``, from 0).
     """
-    spark = predictions.sparkSession
     y, hit = F.col("y"), predicted(F.col("p"))
     code = F.when((y == 1) & (hit == 1), "tp").when(hit == 1, "fp").when(y == 1, "fn")
-    outcome = F.sort_array(F.collect_list(F.when(code.isNotNull(), F.struct("model", "series", code.alias("code")))))
-    cases = predictions.groupBy("case_no").agg(outcome.alias("outcome"))
-    numbered = written(global_row_number(cases, [F.col("case_no")], "idx").select((F.col("idx") - 1).alias("idx"), "outcome"))
-    n = numbered.count()
-
-    drawn = draws(spark, n, reps, seed).join(numbered, F.col("case_idx") == F.col("idx")).groupBy(
-        "rep", "outcome").agg(F.sum("k").alias("k"))
-    whole = numbered.groupBy("outcome").agg(F.count("*").alias("k")).select(F.lit(-1).alias("rep"), "outcome", "k")
-    counts = (drawn.unionByName(whole).select("rep", "k", F.explode("outcome").alias("o"))
-              .groupBy("rep", "o.model", "o.series").agg(*[
-                  F.sum(F.when(F.col("o.code") == c, F.col("k")).otherwise(0)).alias(c) for c in ("tp", "fp", "fn")]))
+    named = F.when(code.isNotNull(), F.concat_ws(_FIELD, "model", "series", code))
+    cases = predictions.groupBy("case_no").agg(F.array_join(F.sort_array(F.collect_list(named)), _ITEM).alias("pattern"))
+    patterns = global_row_number(cases.groupBy("pattern").agg(F.count("*").alias("k")), [F.col("pattern")], "place")
+    outcomes = F.transform(F.filter(F.split("pattern", _ITEM), lambda o: o != ""), lambda o: (F.array_position("names", o) - 1).cast("int"))
+    rows = patterns.withColumn("names", outcome_names(predictions)).select("place", "k", F.floor((F.col("place") - 1) / block).alias("block"), outcomes.alias("outcomes"))
+    blocks = rows.groupBy("block").agg(F.sort_array(F.collect_list(F.struct("place", "k", "outcomes"))).alias("p"), F.sum("k").alias("n"))
+    # one row per block: the running sum is over few rows
+    first = F.sum("n").over(W.orderBy("block").rowsBetween(W.unboundedPreceding, -1))
+    owner = F.flatten(F.transform("p", lambda p, i: F.transform(p["outcomes"], lambda o: i)))
+    return blocks.select("block", F.coalesce(first, F.lit(0)).alias("first"), "n", F.col("p.k").alias("k"),
+                         owner.alias("owner"), F.flatten("p.outcomes").alias("outcome"))
+
+
+def _counted(n: int, seed: int, at_once: int):
+    """Rows (resamples, range of draws, block) to how often each outcome of the block is drawn."""
+    schema = pa.schema([("rep", pa.int32()), ("outcome", pa.int32()), ("k", pa.int64())])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for i in range(batch.num_rows):
+                row = {c: batch.column(c)[i] for c in batch.schema.names}
+                starts = row["first"].as_py() + np.r_[0, np.cumsum(row["k"].values.to_numpy())]
+                owner, outcome = row["owner"].values.to_numpy(), row["outcome"].values.to_numpy()
+                for rep in range(row["rep"].as_py(), row["last"].as_py()):
+                    often = np.zeros(len(starts) - 1, dtype=np.int64)
+                    for low in range(row["low"].as_py(), row["high"].as_py(), at_once):
+                        drawn = draws(rep, low, min(low + at_once, row["high"].as_py()), n, seed)
+                        drawn = drawn[(drawn >= starts[0]) & (drawn < starts[-1])]
+                        often += np.bincount(np.searchsorted(starts, drawn, side="right") - 1, minlength=len(often))
+                    k = np.bincount(outcome, weights=often[owner]).astype(np.int64)
+                    seen = np.flatnonzero(k).astype(np.int32)
+                    yield pa.RecordBatch.from_arrays([pa.array(np.full(len(seen), rep, dtype=np.int32)), pa.array(seen), pa.array(k[seen])], schema=schema)
+    return run
+
+
+def resampled_macro_f1(predictions: DataFrame, reps: int = 2000, seed: int = 0, min_support: int = C.MIN_SUPPORT,
+                       block: int = BLOCK, at_once: int = DRAWS, per_row: int = PER_ROW) -> DataFrame:
+    """Macro-F1 per (rep, model), all models on the same draws; rep -1 is the full data.
+
+    A resample only needs how many of its cases show each outcome. Cases are numbered by outcome pattern; a task
+    turns draws into a histogram over the patterns' intervals by binary search and that into counts per outcome, so
+    no row per draw exists and only (rep, outcome, count) is shuffled. Patterns come in blocks, draws in ranges and
+    resamples in groups, whatever the number of cases. The supported classes are fixed by the full data.
+    """
+    spark = predictions.sparkSession
+    predictions = written(predictions.select("case_no", "model", "series", "y", "p"))
+    blocks = written(outcome_blocks(predictions, block))
+    n, parts = (int(v or 0) for v in blocks.agg(F.sum("n"), F.count("*")).first())
+    if n >= _PRIME:
+        raise ValueError("more cases than the draws can number")
+    cores = spark.sparkContext.defaultParallelism
+    together = max(1, min(per_row // max(n, 1), -(-reps // (4 * cores))))
+    groups, ranges = -(-reps // together), max(1, -(-n // per_row))
+    jobs = groups * ranges * parts
+    place = F.floor(F.col("id") / max(parts, 1))
+    given = spark.range(jobs).select(
+        (F.col("id") % max(parts, 1)).alias("block"), (F.floor(place / ranges) * together).cast("int").alias("rep"),
+        (place % ranges * per_row).alias("low")).withColumns({
+            "last": F.least(F.col("rep") + together, F.lit(reps)), "high": F.least(F.col("low") + per_row, F.lit(n))})
+    drawn = given.join(blocks, "block").select("rep", "last", "low", "high", "first", "k", "owner", "outcome").repartition(
+        max(1, min(jobs, 4 * cores))).mapInArrow(
+        _counted(n, seed, at_once), "rep int, outcome int, k bigint")
+    name = F.split(F.get(outcome_names(predictions), F.col("outcome")), _FIELD)
+    drawn = drawn.groupBy("rep", "outcome").agg(F.sum("k").alias("k")).select(
+        "rep", "k", *[F.get(name, F.lit(i)).alias(c) for i, c in enumerate(("model", "series", "code"))])
+    drawn = drawn.groupBy("rep", "model", "series").agg(*[F.sum(F.when(F.col("code") == c, F.col("k")).otherwise(0)).alias(c) for c in CODES])
+    y, hit = F.col("y") == 1, predicted(F.col("p")) == 1
+    whole = predictions.groupBy("model", "series").agg(
+        F.count_if(y & hit).alias("tp"), F.count_if(~y & hit).alias("fp"), F.count_if(y & ~hit).alias("fn"))
+    counts = drawn.unionByName(
+        whole.select(F.lit(-1).alias("rep"), "model", "series", *CODES))
     # a class that no draw of a rep touches scores 0 and still counts in the mean
     classes = predictions.groupBy("series").agg((F.sum("y") / F.count_distinct("model")).alias("support"))
     all_classes, supported = F.count("*"), F.count_if(F.col("support") >= min_support)

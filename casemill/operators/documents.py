@@ -12,7 +12,7 @@ from casemill.functions import citations as CT
 from casemill.functions import documents as D
 from casemill.functions import reports as RP
 from casemill.functions import rules as R
-from casemill.functions.arrays import collapse_space, joined, let
+from casemill.functions.arrays import collapse_space, cut, joined, let
 from casemill.functions.patterns import MIN_TITLE_CHARS
 from casemill.functions.spans import offsets
 from casemill.operators.ordering import first_with_result, keep_latest
@@ -73,32 +73,60 @@ def leak_audit(df: DataFrame, text: str = "masked_text", key: str = "case_no", a
     # occurrences of the hit as a plain string, found left to right without overlap
     pieces = F.split(F.col(text), F.concat(F.lit("\\Q"), F.col("leak"), F.lit("\\E")))
     ends = let(pieces, lambda p: F.slice(offsets(p), 2, F.size(p) - 1))  # where the gap before each occurrence ends, without the leaks
-    rows = hits.select(key, text, "leak", F.posexplode(ends).alias("nth", "gap_end"))
-    start = F.col("gap_end") + F.col("nth") * F.length("leak")
-    begin = F.greatest(start - around, F.lit(0))
-    return rows.select(key, "leak", "nth", F.substring(
-        F.col(text), begin + 1, start - begin + F.length("leak") + around).alias("context"))
 
+    def contexts(between) -> Column:
+        def context(gap_end: Column, nth: Column) -> Column:
+            start = gap_end + nth * F.length("leak")
+            return between(F.greatest(start - around, F.lit(0)), F.least(start + F.length("leak") + around, F.length(text)))
+        return F.transform(ends, context)
+    # cut inside the row: no row per occurrence carries the text
+    return hits.select(key, "leak", F.posexplode(cut(F.col(text), contexts)).alias("nth", "context"))
 
-def titles_in_text(texts: DataFrame, titles: DataFrame, text: str, title: str, keep: Sequence[str],
-                   inline_limit: int = 5000) -> DataFrame:
-    """(keep..., title) for every title that occurs in a text as a plain substring.
 
-    Up to ``inline_limit`` titles go into each row's expression as one array. More are matched by their first
-    characters against the texts' substrings of that length, an equi-join, and then checked in full.
+def titles_in_text(texts: DataFrame, titles: DataFrame, text: str, title: str, keep: Sequence[str]) -> DataFrame:
+    """(keep..., title) for every title that occurs in a text as a plain substring, one row per text and title.
+
+    Each title is found by an anchor: of its inner words (with neighbours on both sides, so they stand in the text as
+    whole words) the one in the fewest texts, with its place in the title. Texts list their distinct words; anchors
+    and words meet on equality, and only for the titles whose anchor a text has is the title itself looked for.
+    Titles of fewer than three words have no inner word; their anchor is three neighbouring characters, again those in
+    the fewest texts, or the whole title if it is shorter. Words and characters that no title needs never leave their task.
     """
-    names = titles.select(title).distinct()
-    if names.limit(inline_limit + 1).count() <= inline_limit:
-        listed = names.agg(F.sort_array(F.collect_list(title))).scalar()
-        inside = F.filter("_titles", lambda t: F.contains(F.col(text), t))
-        rows = texts.withColumn("_titles", listed)
-        return rows.select(*keep, F.explode_outer(inside).alias(title)).filter(F.col(title).isNotNull())
-    width = names.agg(F.min(F.length(title))).first()[0]
-    starts = F.sequence(F.lit(1), F.greatest(F.length(text) - width + 1, F.lit(1)))
-    grams = F.array_distinct(F.transform(starts, lambda i: F.substring(F.col(text), i, F.lit(width))))
-    probes = texts.select(*keep, text, F.explode(grams).alias("_gram"))
-    anchors = names.withColumn("_gram", F.substring(title, 1, width))
-    return probes.join(anchors, "_gram").filter(F.contains(F.col(text), F.col(title))).select(*keep, title)
+    names = written(titles.select(F.col(title).alias("_title")).filter(F.col("_title").isNotNull()).distinct())
+    source = texts.select(*keep, F.col(text).alias("_text")).filter(F.col("_text").isNotNull())
+    inner = F.split("_title", r"\s+")
+    words = F.array_distinct(F.filter(F.slice(inner, 2, F.greatest(F.size(inner) - 2, F.lit(0))), lambda w: w != ""))
+    width = F.least(F.length("_title"), F.lit(3))
+    grams = F.array_distinct(F.transform(F.sequence(F.lit(1), F.length("_title") - width + 1), lambda i: F.substring("_title", i, width)))
+    parts = F.when(F.size(words) > 0, F.transform(words, lambda w: F.struct(F.lit(0).alias("width"), w.alias("part")))).otherwise(
+        F.transform(grams, lambda g: F.struct(width.alias("width"), g.alias("part"))))
+    named = names.filter(F.length("_title") > 0).select("_title", F.explode(parts).alias("a")).select("_title", "a.*")
+    widths = [r.width for r in named.select("width").distinct().collect()]  # at most 0 to 3
+
+    def pieces(width: int) -> Column:
+        if width == 0:
+            return F.array_distinct(F.split("_text", r"\s+"))
+        # neighbouring characters as matches from each of the first offsets: one pass over the text per offset
+        shifted = [F.regexp_extract_all(F.substring("_text", i + 1, F.length("_text")), F.lit(f"(?s).{{{width}}}"), F.lit(0)) for i in range(width)]
+        return F.array_distinct(F.concat(*shifted))
+
+    def of_width(width: int) -> Column:
+        return F.transform(pieces(width), lambda p: F.struct(F.lit(width).alias("width"), p.alias("part")))
+    if not widths:
+        found = source.limit(0).select(*keep, F.lit("").alias(title))
+    else:
+        listed = F.flatten(F.array(*map(of_width, widths)))
+        wanted = named.select("width", "part").distinct()
+        rows = written(source.withColumn("_row", F.monotonically_increasing_id()))
+        places = written(rows.select("_row", F.explode(listed).alias("p")).select("_row", "p.*").join(wanted, ["width", "part"], "left_semi"))
+        often = places.groupBy("width", "part").agg(F.count("*").alias("n"))
+        # a part that is in no text settles its title: nothing to look for
+        anchors = named.join(often, ["width", "part"], "left").groupBy("_title").agg(
+            F.min(F.struct(F.coalesce("n", F.lit(0)).alias("n"), "width", "part")).alias("a")).select("_title", "a.*").filter("n > 0")
+        asked = places.join(anchors.select("width", "part", "_title"), ["width", "part"]).select("_row", "_title")
+        found = rows.join(asked, "_row").filter(F.contains("_text", F.col("_title"))).select(*keep, F.col("_title").alias(title))
+    empty = names.filter(F.length("_title") == 0)  # the empty title is in every text
+    return found if empty.isEmpty() else found.unionByName(source.select(*keep, F.lit("").alias(title)))
 
 
 def title_leaks(texts: DataFrame, titles: DataFrame, text: str, title: str, keep: Sequence[str]) -> DataFrame:

@@ -16,7 +16,7 @@ from casemill.sources.session import written
 from casemill.sources.tables import load_table, spread
 
 YEARS = {"train": (1995, 1998), "validation": (1999, 1999), "test": (2000, 2001)}
-MIN_CASES = 1000
+MIN_CASES = C.MIN_SERIES_CASES
 
 
 def table(spark: SparkSession, folder: str, name: str, *columns: str) -> DataFrame:
@@ -119,7 +119,8 @@ def series(k: str) -> str:
             f"ELSE split_part({k}, ':', 1) END")
 
 
-DATASET = LABELS + ", " + SUCCESSORS + f""", dated AS (
+def dataset_sql(min_cases: int = MIN_CASES) -> str:
+    return LABELS + ", " + SUCCESSORS + f""", dated AS (
   SELECT c.case_no, c.masked_text, l.rules, l.label_source,
     coalesce(year(c.action_date), CAST(substr(c.report_month, 1, 4) AS INTEGER)) AS year
   FROM cases c JOIN labels l ON c.case_no = l.case_no WHERE l.rules <> ''
@@ -133,7 +134,7 @@ DATASET = LABELS + ", " + SUCCESSORS + f""", dated AS (
 ), case_series AS (
   SELECT DISTINCT case_no, split, {series('k')} AS s FROM moved WHERE NOT {not_charged('k')}
 ), kept AS (
-  SELECT s FROM case_series WHERE split = 'train' GROUP BY s HAVING count(*) >= {MIN_CASES}
+  SELECT s FROM case_series WHERE split = 'train' GROUP BY s HAVING count(*) >= {min_cases}
 ), case_labels AS (
   SELECT DISTINCT case_no, CASE WHEN s IN (SELECT s FROM kept) THEN s ELSE 'other' END AS label FROM case_series
 ), joined_labels AS (
@@ -142,6 +143,8 @@ DATASET = LABELS + ", " + SUCCESSORS + f""", dated AS (
   SELECT s.case_no, s.year, s.split, s.masked_text, s.rules, s.label_source, coalesce(j.labels, '') AS labels
   FROM splits s LEFT JOIN joined_labels j ON s.case_no = j.case_no WHERE s.split IS NOT NULL)"""
 
+
+DATASET = dataset_sql()
 MODELS = ("baseline", "finetune", "zeroshot")
 
 

@@ -115,7 +115,7 @@ def prediction_drift(spark, d):
 def probabilities_json(spark, d):
     """Probabilities stored as one JSON map per case and read back, one row per class."""
     rows = D.predictions(spark, d).filter("model = 'baseline'")
-    classes = [r.series for r in rows.select("series").distinct().orderBy("series").collect()]
+    classes = rows.agg(F.sort_array(F.collect_set("series"))).scalar()
     return S.json_to_probs(S.probs_to_json(rows, ["case_no"]), classes)
 
 
@@ -132,25 +132,35 @@ def top_probabilities(spark, d):
 def wide_predictions(spark, d):
     """Long predictions to ``model:series`` columns and back."""
     rows = D.predictions(spark, d)
-    names = [f"{m}:{r.series}" for m in D.MODELS for r in rows.select("series").distinct().orderBy("series").collect()]
+    names = sorted(f"{r.model}:{r.series}" for r in rows.select("model", "series").distinct().collect())
     wide = S.long_to_wide(rows, ["case_no"], names)
     return S.wide_to_long(wide, ["case_no"]).select("case_no", "model", "series", "p")
 
 
-_MIX = "((({0} % 2147483647) * 48271 + 11) % 2147483647)"
-REPS = 200
-_BOOT = _PREDS + f""", idx AS (SELECT case_no, row_number() OVER (ORDER BY case_no) - 1 AS i FROM (SELECT DISTINCT case_no FROM preds)),
+def _mixed(v: str) -> str:
+    once = f"((({v}) % 2147483647 * 48271 + 11) % 2147483647)"
+    return f"((({once} * {once} + 12345) % 2147483647) * 69621 % 2147483647)"
+
+
+REPS = 2000
+_BOOT = _PREDS + f""", outcomes AS (SELECT case_no, model, series, CASE WHEN y = 1 AND p >= 0.5 THEN 'tp' WHEN p >= 0.5 THEN 'fp' WHEN y = 1 THEN 'fn' END AS code
+    FROM preds),
+  shown AS (SELECT case_no, coalesce(string_agg(model || chr(31) || series || chr(31) || code, chr(30) ORDER BY model || chr(31) || series || chr(31) || code), '') AS pattern
+    FROM outcomes GROUP BY case_no),
+  idx AS (SELECT pattern, row_number() OVER (ORDER BY pattern, case_no) - 1 AS i FROM shown),
+  pattern_rows AS (SELECT c.pattern, o.model, o.series, o.code FROM (SELECT pattern, min(case_no) AS case_no FROM shown GROUP BY pattern) c
+    JOIN outcomes o USING (case_no)),
   size AS (SELECT count(*) AS n FROM idx),
-  slots AS (SELECT s, {_MIX.format('s')} AS a FROM (SELECT unnest(range(n * {REPS})) AS s FROM size)),
-  drawn AS (SELECT s // n AS rep, ((((a * a + 12345) % 2147483647) * 69621) % 2147483647) % n AS i FROM slots, size),
-  k AS (SELECT rep, i, count(*) AS k FROM drawn GROUP BY rep, i UNION ALL SELECT -1, i, 1 FROM idx),
-  outcomes AS (SELECT i, model, series, CASE WHEN y = 1 AND p >= 0.5 THEN 1 ELSE 0 END AS tp, CASE WHEN y = 0 AND p >= 0.5 THEN 1 ELSE 0 END AS fp,
-    CASE WHEN y = 1 AND p < 0.5 THEN 1 ELSE 0 END AS fn FROM preds JOIN idx ON preds.case_no = idx.case_no),
-  sums AS (SELECT rep, model, series, sum(k * tp) AS tp, sum(k * fp) AS fp, sum(k * fn) AS fn FROM k JOIN outcomes ON k.i = outcomes.i GROUP BY ALL),
+  numbers AS (SELECT unnest(range(n)) AS j FROM size), mixed AS (SELECT {_mixed('j')} AS a FROM numbers),
+  offsets AS (SELECT rep, {_mixed('rep + 1')} AS b FROM (SELECT unnest(range({REPS})) AS rep)),
+  drawn AS (SELECT rep, {_mixed('a + b')} % n AS i, count(*) AS k FROM mixed, offsets, size GROUP BY ALL),
+  k AS (SELECT rep, pattern, sum(k) AS k FROM drawn JOIN idx USING (i) GROUP BY rep, pattern UNION ALL SELECT -1, pattern, count(*) FROM idx GROUP BY pattern),
+  sums AS (SELECT rep, model, series, sum(k) FILTER (WHERE code = 'tp') AS tp, sum(k) FILTER (WHERE code = 'fp') AS fp, sum(k) FILTER (WHERE code = 'fn') AS fn
+    FROM k JOIN pattern_rows USING (pattern) GROUP BY ALL),
   support AS (SELECT series, sum(y) / 3 AS support FROM preds GROUP BY series),
-  f AS (SELECT rep, model, series, support, CASE WHEN 2 * tp + fp + fn = 0 THEN 0 ELSE 2 * tp / (2 * tp + fp + fn) END AS f1
+  f AS (SELECT rep, model, series, support, coalesce(2 * tp, 0) / nullif(2 * coalesce(tp, 0) + coalesce(fp, 0) + coalesce(fn, 0), 0) AS f1
     FROM sums JOIN support USING (series)),
-  macros AS (SELECT rep, model, avg(f1) AS m, avg(f1) FILTER (WHERE support >= 10) AS ms FROM f GROUP BY rep, model),
+  macros AS (SELECT rep, model, avg(coalesce(f1, 0)) AS m, avg(coalesce(f1, 0)) FILTER (WHERE support >= 10) AS ms FROM f GROUP BY rep, model),
   named AS (SELECT rep, model AS name, m, ms FROM macros UNION ALL
     SELECT x.rep, 'finetune minus ' || z.model, x.m - z.m, x.ms - z.ms FROM macros x JOIN macros z ON x.rep = z.rep
     WHERE x.model = 'finetune' AND z.model IN ('baseline', 'zeroshot'))"""

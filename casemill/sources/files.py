@@ -43,14 +43,13 @@ def probs_to_json(df: DataFrame, keys: Sequence[str], series: str = "series", p:
     return df.groupBy(*keys).agg(F.to_json(F.map_from_entries(pairs)).alias("probs"))
 
 
-def json_to_probs(df: DataFrame, classes: Sequence[str], probs: str = "probs") -> DataFrame:
-    """One row per class; a class missing from the map has probability 0."""
-    values = F.from_json(F.col(probs), PROBABILITIES)
-    per_class = F.array(*[F.struct(F.lit(c).alias("series"),
-                                   F.coalesce(F.try_element_at(values, F.lit(c)), F.lit(0.0)).alias("p"))
-                          for c in classes])
+def json_to_probs(df: DataFrame, classes: Sequence[str] | Column, probs: str = "probs") -> DataFrame:
+    """One row per class; a class missing from the map has probability 0. ``classes`` may be an array column."""
+    names = classes if isinstance(classes, Column) else F.array(*map(F.lit, classes))
     rest = [c for c in df.columns if c != probs]
-    return df.select(*rest, F.inline(per_class))
+    parsed = df.select(*rest, F.from_json(F.col(probs), PROBABILITIES).alias("_values"), names.alias("_names"))
+    per_class = F.transform("_names", lambda c: F.struct(c.alias("series"), F.coalesce(F.try_element_at("_values", c), F.lit(0.0)).alias("p")))
+    return parsed.select(*rest, F.inline(per_class))
 
 
 def top_probabilities(probs: Column, n: int = 3) -> Column:

@@ -80,4 +80,4 @@ if __name__ == "__main__":
             problem = compare(spark, con, folder, fn, sql)
         except Exception as e:  # noqa: BLE001
             problem = f"{type(e).__name__}: {str(e)[:600]}"
-        print(f"{'ok ' if problem is None else 'BAD'} {name} {time.time() - start:.1f}s {problem or ''}", flush=True)
+        print(f"\n{"ok " if problem is None else 'BAD'} {name} {time.time() - start:.1f}s {problem or ''}", flush=True)

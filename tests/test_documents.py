@@ -1,6 +1,7 @@
 """Case documents and monthly reports on our own strings."""
 
 import datetime
+import random
 
 from pyspark.sql import functions as F
 
@@ -123,7 +124,20 @@ def test_leak_audit_and_titles(spark):
     assert [(r.case_no, r.leak, r.context) for r in got] == [("2", "Rule 3", "see Rule 31 an"), ("2", "Rule 3", "and Rule 31 ag")]
     titles = spark.createDataFrame([("Outside Business Activities",), ("Short",)], "title string")
     texts = spark.createDataFrame([(1, "his OUTSIDE business activities"), (2, "a short one")], "id int, t string")
-    for limit in (10, 0):  # both the in-row and the join path
-        found = O.titles_in_text(texts.withColumn("l", F.lower("t")), titles.select(F.lower("title").alias("title")), "l", "title", ["id"], limit)
-        assert sorted((r.id, r.title) for r in found.collect()) == [(1, "outside business activities"), (2, "short")]
+    found = O.titles_in_text(texts.withColumn("l", F.lower("t")), titles.select(F.lower("title").alias("title")), "l", "title", ["id"])
+    assert sorted((r.id, r.title) for r in found.collect()) == [(1, "outside business activities"), (2, "short")]
     assert [r.id for r in O.title_leaks(texts, titles, "t", "title", ["id"]).collect()] == [1]
+
+
+def test_titles_by_anchor_equal_brute_force(spark):
+    """Titles of one to five words, parts of words at both ends, blanks inside, the empty title, nulls and repeats."""
+    rng = random.Random(8)
+    word = lambda: "".join(rng.choice("abé") for _ in range(rng.randint(1, 3)))
+    texts = [(i, rng.choice([" ", "  ", "\n"]).join(word() for _ in range(rng.randint(0, 40)))) for i in range(80)] + [(90, None), (91, "")]
+    cuts = [t[a:a + rng.randint(0, 14)] for _, t in texts if t for a in (rng.randrange(len(t)),)]
+    titles = cuts + [" ".join(word() for _ in range(rng.randint(1, 5))) for _ in range(60)] + [None, "", "a a", "zz zz zz"]
+    found = O.titles_in_text(spark.createDataFrame(texts, "id int, t string").repartition(3), spark.createDataFrame([(t,) for t in titles], "n string"),
+                             "t", "n", ["id"])
+    want = sorted((i, n) for i, t in texts if t is not None for n in {n for n in titles if n is not None} if n in t)
+    assert sorted((r.id, r.n) for r in found.collect()) == want
+    assert O.titles_in_text(spark.createDataFrame(texts, "id int, t string"), spark.createDataFrame([], "n string"), "t", "n", ["id"]).count() == 0

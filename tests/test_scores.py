@@ -2,6 +2,7 @@
 
 import json
 import math
+from collections import Counter
 
 import numpy as np
 import pytest
@@ -39,14 +40,18 @@ def test_macro_and_bootstrap_match_brute_force(spark, predictions):
         assert macro[m].macro_f1 == pytest.approx(_macro(rows, m, ones, ["a", "b", "rare"]))
         assert macro[m].supported_classes == 1  # only "a" has ten cases
     got = {(r.rep, r.model): r for r in bootstrap.resampled_macro_f1(df, 3, seed=5).collect()}
-    drawn = bootstrap.draws(spark, 30, 3, 5).collect()
-    names = sorted(ones)
+    outcomes = {c: sorted(f"{m}\x1f{s}\x1f{'tp' if y and p >= .5 else 'fp' if p >= .5 else 'fn'}" for n, m, s, y, p in rows if n == c and (y or p >= .5))
+                for c in ones}
+    names = sorted(ones, key=lambda c: "\x1e".join(outcomes[c]))
     for rep in range(3):
-        weights = dict.fromkeys(names, 0) | {names[d.case_idx]: d.k for d in drawn if d.rep == rep}
+        weights = dict.fromkeys(names, 0) | Counter(names[i] for i in bootstrap.draws(rep, 0, 30, 30, 5).tolist())
         assert sum(weights.values()) == 30
         for m in ("x", "z"):
             assert got[rep, m].macro_f1 == pytest.approx(_macro(rows, m, weights, ["a", "b", "rare"]))
             assert got[rep, m].macro_f1_supported == pytest.approx(_macro(rows, m, weights, ["a"]))
+    for block, at_once, per_row in ((3, 1000, 1000), (65_536, 7, 40), (4, 5, 11)):  # many blocks of patterns, many ranges of draws
+        again = {(r.rep, r.model): r for r in bootstrap.resampled_macro_f1(df, 3, 5, block=block, at_once=at_once, per_row=per_row).collect()}
+        assert again == got
     row = {r.name: r for r in bootstrap.intervals(bootstrap.resampled_macro_f1(df, 3, seed=5), [("x", "z")]).collect()}
     assert row["x minus z"].value == pytest.approx(macro["x"].macro_f1 - macro["z"].macro_f1)
 
