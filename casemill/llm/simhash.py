@@ -143,9 +143,9 @@ def deduplicated(docs: DataFrame) -> DataFrame:
     names = docs.columns
     whole = F.struct(*[F.col(f"`{c}`") for c in names]).alias("row")  # nested, so no column name can clash
     marked = written(docs.select(whole, F.col("doc_id").alias("key"), resemblance.entry("text").alias("e"))
-                     .select("row", "key", "e.copy", "e.n", "e.keys"))
+                     .select("row", "key", "e.copy", "e.n", "e.keys", "e.mark"))
     first = marked.groupBy("copy").agg(F.min(F.struct(F.col("key").isNull().alias("none"), "key", "copy")).alias("first"))
-    roots = resemblance.groups(marked.select("copy", "n", "keys", "row.text"))
+    roots = resemblance.groups(marked.select("copy", "n", "keys", "mark", "row.text"))
     keepers = (roots.join(first, "copy").groupBy("root").agg(F.min("first").alias("first"))
                .select(F.col("first.key").alias("keep"), F.col("first.copy").alias("keep_copy")))
     stay = marked.join(keepers, marked["copy"].eqNullSafe(F.col("keep_copy")) & marked.key.eqNullSafe(F.col("keep")), "left_semi")

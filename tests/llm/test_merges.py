@@ -61,7 +61,7 @@ def test_lookahead_is_bounded(monkeypatch):
     kept, emit = [], transducer._emit
     transducer._emit = lambda *given: kept.append(emit(*given)) or kept[-1]
     assert transducer(b"ab" * 500 + b"a") == [3] * 250 + [0]
-    assert len(kept) > 90 and max(map(len, kept)) < 10 and len(transducer.states) < 20
+    assert len(kept) > 90 and max(map(len, kept)) <= 12 and len(transducer.states) < 40
 
 
 def test_decoder_streams_and_replaces():

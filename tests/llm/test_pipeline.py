@@ -6,8 +6,8 @@ from oracle import compare, connect
 import corpus_pipeline
 from casemill.llm import quality
 from casemill.llm.queries import QUERIES, op8_quality
-from test_near import brute_print, roots_of
 from test_quality import measured
+from test_resemblance import brute_kept
 
 FOLDER = "/root/testdata/sf0.001"
 
@@ -31,12 +31,8 @@ def test_stages(spark):
     assert all(i in kept for i, q in labels.items() if q == 1 and measured(rows[i].text)[0] >= 50)
     third = near(spark, docs, FOLDER)
     assert third.columns == docs.columns
-    prints = {i: brute_print(r.text) for i, r in rows.items()}
-    root = roots_of(set(prints.values()), [(a, b) for a in prints.values() for b in prints.values() if a < b and (a ^ b).bit_count() <= 2])
-    smallest = {}
-    for i in sorted(rows, reverse=True):
-        smallest[root[prints[i]]] = i
-    assert sorted(tuple(r) for r in third.collect()) == sorted(tuple(rows[i]) for i in smallest.values())
+    stay = set(brute_kept([(i, r.text) for i, r in rows.items()]))
+    assert sorted(tuple(r) for r in third.collect()) == sorted(tuple(r) for i, r in rows.items() if i in stay)
     packed = pack(spark, docs, FOLDER).collect()
     assert {r.doc_id for r in packed} == set(rows)
     assert all(sum(r.length for r in packed if r.doc_id == i) == next(r.doc_tokens for r in packed if r.doc_id == i) for i in list(rows)[:20])

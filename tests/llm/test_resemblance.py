@@ -79,3 +79,37 @@ def test_keys_find_similar_sets():
             pairs += 1
             lost += not set(a[2]) & set(b[2])
     assert pairs > 100 and lost == 0
+
+
+def test_a_large_group_of_near_copies_takes_few_comparisons(spark, monkeypatch):
+    """Copies of one text that lie below 0.8 to each other, half of them with a closer sibling, and the text itself."""
+    def made(copies, changes):
+        rng = random.Random(9)
+        base, texts, siblings = [f"w{i}" for i in range(200)], [], []
+        for i in range(copies):
+            copy = list(base)
+            for at in rng.sample(range(200), changes):
+                copy[at] = f"c{i}x{at}"
+            texts.append(copy)
+            if i % 2:
+                near = list(copy)
+                near[rng.randrange(200)] = "once"
+                siblings.append((len(texts) - 1, len(texts)))
+                texts.append(near)
+        return [" ".join(t) for t in texts], siblings
+
+    compared = []
+    whole = resemblance.similar
+    monkeypatch.setattr(resemblance, "similar", lambda pairs, known: compared.append(pairs.count()) or whole(pairs, known))
+    counts = []
+    for copies in (100, 400):
+        texts, siblings = made(copies, 6)
+        docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+        entries = docs.select(resemblance.entry("text").alias("e"), "text").select("e.*", "text")
+        compared.clear()
+        root = {r.copy: r.root for r in resemblance.groups(entries).collect()}
+        of = [root[resemblance.entry_of(t)[0]] for t in texts]
+        caught = sum(of[a] == of[b] for a, b in siblings)
+        assert caught >= 0.95 * len(siblings), (copies, caught, len(siblings))
+        counts.append(sum(compared))
+    assert counts[1] < 8 * counts[0], counts  # four times the texts; all pairs would be sixteen times
