@@ -23,8 +23,9 @@ from casemill.llm.worker import kept
 
 WINDOW = 2048
 END = 1
-#: Spaced words kept with their ids in a worker; when full it starts anew, which changes no id.
-REMEMBERED = 400_000
+#: Spaced words kept with their ids in a worker, in two generations: words met again move to the newer one, the older
+#: one is dropped when the newer is full. This changes no id.
+REMEMBERED = 250_000
 #: Rows of pieces handed on at once.
 HANDED_ON = 20_000
 
@@ -46,6 +47,7 @@ class Encoder:
 
         self.tokenizer = Tokenizer.from_file(path)
         self.special = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
+        self.older: dict[str, bytes | None] = {}
         self.spaced: dict[str, bytes | None] = {}  # parts after a space; None: not to be cut before this part
         self.bare: dict[str, bytes] = {"": b""}  # first parts and closing punctuation
 
@@ -54,10 +56,12 @@ class Encoder:
         firsts = [p.pop(0) for p in parts]
         wanted = set().union(*parts)
         new = wanted.difference(self.spaced)
-        if len(self.spaced) + len(new) > REMEMBERED:
-            self.spaced.clear()
+        if len(self.spaced) + len(new) > REMEMBERED // 2:
+            self.older, self.spaced = self.spaced, {}
             new = wanted
-        self._learn(new)
+        again = new.intersection(self.older)
+        self.spaced.update((w, self.older[w]) for w in again)
+        self._learn(new - again)
         self._learn_bare(set(firsts))
         spaced, out = self.spaced.__getitem__, []
         for text, first, rest in zip(texts, firsts, parts):
