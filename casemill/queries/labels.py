@@ -55,6 +55,14 @@ def series_counts(spark, d):
     return L.series_counts(D.dataset(spark, d).filter("split = 'train'"), min_cases=D.MIN_CASES)
 
 
+@query("WITH " + D.dataset_sql(1000) + """ SELECT split, label, count(*) AS cases FROM (SELECT split, unnest(string_split(labels, '|')) AS label FROM dataset)
+  WHERE label <> '' GROUP BY ALL""")
+def rare_classes_merged(spark, d):
+    """Label counts per split where series with fewer than 1,000 training cases are merged."""
+    rows = D.dataset(spark, d, 1000).select("split", F.explode(F.split("labels", r"\|")).alias("label"))
+    return rows.filter("label <> ''").groupBy("split", "label").agg(F.count("*").alias("cases"))
+
+
 @query("WITH " + D.DATASET + """ SELECT DISTINCT unnest(string_split(labels, '|')) AS series FROM dataset
   WHERE split = 'train' AND labels <> ''""")
 def class_list(spark, d):

@@ -65,6 +65,23 @@ def bm25_topk(spark, d):
     return top.withColumn("score", D.r6("score"))
 
 
+_TITLED = "SELECT doc_id AS id, concat_ws(' ', source, lang, text) AS text FROM documents"
+
+
+@query(_search_sql(_TITLED, "SELECT doc_id AS q, source || ' ' || lang || ' ' || left(text, 40) AS text FROM documents WHERE doc_id % 20 = 0") + """
+  SELECT q AS query_id, id AS doc_id, round(score, 6) AS score, r AS rank FROM (SELECT *, row_number() OVER
+  (PARTITION BY q ORDER BY score DESC, id) AS r FROM scores) WHERE r <= 5""")
+def bm25_titled_topk(spark, d):
+    """Title and text are one searched text; every twentieth document asks with its title and first words."""
+    docs = D.spread_table(spark, d, "documents", "doc_id").select("doc_id", "source", "lang", "text")
+    titled = docs.select("doc_id", F.concat_ws(" ", "source", "lang", "text").alias("text"))
+    queries = docs.filter("doc_id % 20 = 0").select(
+        F.col("doc_id").alias("query_id"), F.concat("source", F.lit(" "), "lang", F.lit(" "), F.substring("text", 1, 40)).alias("q"))
+    scores = bm25.search(titled, "doc_id", F.col("text"), queries, "query_id", F.col("q"))
+    top = O.best_per_key(scores, ["query_id"], [F.col("score").desc(), F.col("doc_id").asc()], 5, rank="rank")
+    return top.withColumn("score", D.r6("score"))
+
+
 def _rule_pages(spark, d):
     """Documents as rulebook pages."""
     rule = (1000 + F.col("doc_id") % 9000).cast("string")

@@ -170,3 +170,15 @@ def test_classifier_separates_topics(spark):
     models = classifier.fit_labels(vectors, ["sup", "suit"])
     rows = classifier.predict_labels(models, vectors, "doc_id", "m").collect()
     assert len(rows) == 80 and all((r.p >= 0.5) == ((r.doc_id % 2 == 1) == (r.series == "sup")) for r in rows)
+
+
+def test_constant_labels_are_predicted_as_they_are(spark):
+    rows = [(i, "sold notes" if i % 2 else "kept books", i % 2, 1, 0, None) for i in range(12)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, mixed int, always int, never int, unknown int")
+    vectors = classifier.fit_tfidf(docs, "doc_id", "text").vectors(docs, "doc_id", "text")
+    models = classifier.fit_labels(vectors, ["mixed", "always", "never", "unknown"])
+    got = {(r.doc_id, r.series): r.p for r in classifier.predict_labels(models, vectors, "doc_id", "m").collect()}
+    assert len(got) == 48
+    for i in range(12):
+        assert got[i, "always"] == 1.0 and got[i, "never"] == got[i, "unknown"] == 0.0
+        assert (got[i, "mixed"] > 0.5) == bool(i % 2)
