@@ -22,6 +22,10 @@ DIGITS = 9  # scores are rounded here before ranking, so equal vectors tie where
 BLOCK_BYTES = 32 << 20
 
 
+#: Rows of a tile: a pair of tiles has at most some four million scores.
+QUERY_TILE, CHUNK_TILE = 1024, 4096
+
+
 def normalised(vector: Column) -> Column:
     """The vector divided by its length; a zero vector stays zero and so scores 0 everywhere."""
     length = F.sqrt(F.aggregate(vector, F.lit(0.0), lambda a, x: a + x.cast("double") * x))
@@ -72,37 +76,35 @@ def nearest(chunks: DataFrame, queries: DataFrame, chunk_id: str, query_id: str,
             group: str | None = None, vector: str = "embedding") -> DataFrame:
     """(query_id, chunk_id, [group], score, rank): the k best chunks, or the best chunk of the k best groups.
 
-    Every chunk is scored. A task emits at most k rows per query, and only those are shuffled.
+    Every chunk is scored. Queries and chunks are dealt to tiles of bounded size and every query tile meets every chunk
+    tile in one group of its own, which emits at most k rows per query; only those are shuffled again. Neither side
+    passes through the driver, and a task holds one pair of tiles.
     """
-    spark, group_col = chunks.sparkSession, group or chunk_id
+    group_col = group or chunk_id
     types = {f.name: f.dataType.simpleString() for f in chunks.schema.fields}
     q_type = {f.name: f.dataType.simpleString() for f in queries.schema.fields}[query_id]
-    rows = chunks.select(F.col(chunk_id).alias("id"), F.col(group_col).alias("g"), F.col(vector).alias("v"))
     schema = f"q {q_type}, id {types[chunk_id]}, g {types[group_col]}, score double"
-
-    def search(block) -> DataFrame:
-        shared = spark.sparkContext.broadcast(block)
-
-        def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-            names, matrix = shared.value
-            kept: list = [None] * len(names)
-            for batch in batches:
-                if not len(batch):
-                    continue
-                scores = np.round(_unit(batch["v"]) @ matrix.T, DIGITS)
-                ids, groups = batch["id"].to_numpy(), batch["g"].to_numpy()
-                for j in range(len(names)):
-                    s, i, g = scores[:, j], ids, groups
-                    if kept[j] is not None:
-                        s, i, g = (np.concatenate(p) for p in zip(kept[j], (s, i, g)))
-                    best = _best(s, i, g, k)
-                    kept[j] = (s[best], i[best], g[best])
-            for name, best in zip(names, kept):
-                if best is not None:
-                    yield pd.DataFrame({"q": name, "id": best[1], "g": best[2], "score": best[0]})
-        return rows.mapInPandas(run, schema)
-
-    found = per_block(queries, query_id, vector, search, schema)
+    n_queries, n_chunks = queries.count(), chunks.count()
+    across, down = max(1, -(-n_queries // QUERY_TILE)), max(1, -(-n_chunks // CHUNK_TILE))
+
+    def tiled(rows: DataFrame, own: str, parts: int, other: str, others: int) -> DataFrame:
+        """Each row in its own tile, once for each tile of the other side."""
+        numbered = rows.withColumn(own, F.pmod(F.xxhash64(rows.columns[0]), F.lit(parts)))
+        return numbered.withColumn(other, F.explode(F.sequence(F.lit(0).cast("bigint"), F.lit(others - 1).cast("bigint"))))
+    left = tiled(queries.select(F.col(query_id).alias("q"), F.col(vector).alias("v")), "x", across, "y", down)
+    right = tiled(chunks.select(F.col(chunk_id).alias("id"), F.col(group_col).alias("g"), F.col(vector).alias("v")), "y", down, "x", across)
+
+    def pair(asked: pd.DataFrame, given: pd.DataFrame) -> pd.DataFrame:
+        if not len(asked) or not len(given):
+            return pd.DataFrame({"q": asked["q"][:0], "id": given["id"][:0], "g": given["g"][:0], "score": np.zeros(0)})
+        scores = np.round(_unit(asked["v"]) @ _unit(given["v"]).T, DIGITS)
+        ids, groups = given["id"].to_numpy(), given["g"].to_numpy()
+        best = [_best(row, ids, groups, k) for row in scores]
+        at = np.concatenate(best)
+        owner = np.repeat(np.arange(len(best)), [len(x) for x in best])
+        return pd.DataFrame({"q": asked["q"].to_numpy()[owner], "id": ids[at], "g": groups[at], "score": scores[owner, at]})
+
+    found = left.groupBy("x", "y").cogroup(right.groupBy("x", "y")).applyInPandas(pair, schema)
     by_score = [F.col("score").desc(), F.col("id").asc()]
     if group:
         found = best_per_key(found, ["q", "g"], by_score)

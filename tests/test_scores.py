@@ -140,11 +140,16 @@ def test_rankings_match_brute_force(spark, conduct, k):
         assert got == {key: v for key, v in want.items() if key[0] == name}
 
 
-def test_query_blocks_change_nothing(spark, monkeypatch):
+def test_tiles_change_nothing(spark, monkeypatch):
     book, queries, *_ = _book(spark)
     one = sorted(dense.nearest(book, queries, "chunk_id", "q").collect())
-    monkeypatch.setattr(dense.query_blocks, "__defaults__", (0, 50))
+    book = book.withColumn("rule", F.pmod(F.xxhash64("chunk_id"), F.lit(3)))
+    by_rule = sorted(dense.nearest(book, queries, "chunk_id", "q", 2, group="rule").collect())
+    monkeypatch.setattr(dense, "QUERY_TILE", 1)
+    monkeypatch.setattr(dense, "CHUNK_TILE", 2)
     assert sorted(dense.nearest(book, queries, "chunk_id", "q").collect()) == one
+    assert sorted(dense.nearest(book, queries, "chunk_id", "q", 2, group="rule").collect()) == by_rule
+    assert dense.nearest(book, queries.limit(0), "chunk_id", "q").count() == 0 == dense.nearest(book.limit(0), queries, "chunk_id", "q").count()
 
 
 def test_answers(spark):
