@@ -85,7 +85,7 @@ def train_baseline(t: Tables, split: str = "validation") -> DataFrame:
     have = F.split("labels", r"\|")
     vectors = features.vectors(train, "case_no", "masked_text").select(
         "features", *[F.array_contains(have, c).cast("int").alias(n) for n, c in names.items()])
-    models = classifier.fit_labels(vectors, list(names))
+    models = classifier.fit_labels(vectors, list(names), features.size)
     scored = t.read("model.dataset", F.col("split") == split)
     p = classifier.predict_labels(models, features.vectors(scored, "case_no", "masked_text"), "case_no", "baseline")
     p = p.withColumn("series", F.element_at(R.literal_map(names), F.col("series")))

@@ -2,6 +2,7 @@
 
 import json
 import math
+import random
 from collections import Counter
 
 import numpy as np
@@ -171,8 +172,8 @@ def test_classifier_separates_topics(spark):
     terms = {r.term: r for r in tfidf.terms.collect()}
     assert terms["supervise"].idf == pytest.approx(math.log(41 / 21) + 1) and "branch office" in terms
     vectors = tfidf.vectors(docs, "doc_id", "text")
-    assert vectors.first().features.norm(2) == pytest.approx(1)
-    models = classifier.fit_labels(vectors, ["sup", "suit"])
+    assert sum(x * x for x in vectors.first().features.weight) == pytest.approx(1)
+    models = classifier.fit_labels(vectors, ["sup", "suit"], tfidf.size)
     rows = classifier.predict_labels(models, vectors, "doc_id", "m").collect()
     assert len(rows) == 80 and all((r.p >= 0.5) == ((r.doc_id % 2 == 1) == (r.series == "sup")) for r in rows)
 
@@ -180,10 +181,44 @@ def test_classifier_separates_topics(spark):
 def test_constant_labels_are_predicted_as_they_are(spark):
     rows = [(i, "sold notes" if i % 2 else "kept books", i % 2, 1, 0, None) for i in range(12)]
     docs = spark.createDataFrame(rows, "doc_id long, text string, mixed int, always int, never int, unknown int")
-    vectors = classifier.fit_tfidf(docs, "doc_id", "text").vectors(docs, "doc_id", "text")
-    models = classifier.fit_labels(vectors, ["mixed", "always", "never", "unknown"])
+    tfidf = classifier.fit_tfidf(docs, "doc_id", "text")
+    vectors = tfidf.vectors(docs, "doc_id", "text")
+    models = classifier.fit_labels(vectors, ["mixed", "always", "never", "unknown"], tfidf.size)
     got = {(r.doc_id, r.series): r.p for r in classifier.predict_labels(models, vectors, "doc_id", "m").collect()}
     assert len(got) == 48
     for i in range(12):
         assert got[i, "always"] == 1.0 and got[i, "never"] == got[i, "unknown"] == 0.0
         assert (got[i, "mixed"] > 0.5) == bool(i % 2)
+
+
+def test_labels_are_trained_together_as_one_by_one(spark, monkeypatch):
+    """Coefficients against a regression of Spark's library, and the passes of many labels against those of one."""
+    from pyspark.ml.classification import LogisticRegression
+    from pyspark.ml.linalg import Vectors
+    from casemill.operators import regression
+    rng = random.Random(4)
+    rows = []
+    for i in range(120):
+        at = sorted(rng.sample(range(9), rng.randint(0, 5)))
+        rows.append((i, (at, [rng.random() for _ in at]), int((3 in at) != (rng.random() < 0.2)), int(rng.random() < 0.1 + 0.4 * (5 in at)), None if i % 7 else 1))
+    vectors = spark.createDataFrame(rows, "doc_id long, features struct<index: array<int>, weight: array<double>>, a int, b int, c int").repartition(3)
+    passes = []
+    whole = regression._pass
+    monkeypatch.setattr(regression, "_pass", lambda *x: passes.append(x[3]) or whole(*x))
+    monkeypatch.setattr(regression, "SLICE", 4)
+    (group,) = classifier.fit_labels(vectors, ["a", "b", "c"], 9)
+    most = len(passes)
+    passes.clear()
+    monkeypatch.setattr(regression, "COEFFICIENTS", 10)
+    apart = classifier.fit_labels(vectors, ["a", "b", "c"], 9)
+    assert [g.names for g in apart] == [["a"], ["b"], ["c"]] and most == max(sum(p == [i] for p in passes) for i in range(3)) < len(passes)
+    for i, label in enumerate("abc"):
+        assert apart[i].points[0] == pytest.approx(group.points[i], abs=1e-4)
+        y = {r[0]: r[2 + i] or 0 for r in rows}
+        pos = sum(y.values())
+        given = spark.createDataFrame([(Vectors.sparse(9, *r[1]), float(y[r[0]]), 60 / pos if y[r[0]] else 60 / (120 - pos)) for r in rows], ["features", "label", "w"])
+        want = LogisticRegression(weightCol="w", regParam=1 / 480, standardization=False, tol=1e-10, maxIter=500).fit(given)
+        assert [*want.coefficients, want.intercept] == pytest.approx(list(group.points[i]), abs=2e-3)
+    p = {(r.doc_id, r.series): r.p for r in classifier.predict_labels([group], vectors, "doc_id", "m").collect()}
+    again = {(r.doc_id, r.series): r.p for r in classifier.predict_labels(apart, vectors, "doc_id", "m").collect()}
+    assert len(p) == 360 and p == pytest.approx(again, abs=1e-4)
