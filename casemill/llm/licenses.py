@@ -1,6 +1,8 @@
 """Licence scan: sparse TF-IDF cosine to templates, then inheritance from the nearest directory.
 
-A file offers the lines that mention licensing (its headers) and, if its name is that of a licence file, its whole text.
+A file offers its lines (its headers among them) and, if its name is that of a licence file, its whole text. Only lines
+that cannot reach the threshold are left out: with t the share of a template's squared weights that a line's terms hold,
+its cosine is at most sqrt(t), so it must hold one of so many of the template's terms that the others have less than that.
 Each offer is compared with every template by the cosine of sparse TF-IDF vectors; the best one above the threshold is the
 file's licence. A directory has the licence of its licence files, and a file without one of its own takes that of its
 nearest ancestor directory, found by joining paths level by level. All is DataFrame functions: offers are cut and counted
@@ -9,11 +11,14 @@ inside the row, and joins move terms of offers, directories and paths, never tex
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-#: Words that make a line an offer.
-CUE = r"(?i)licen[cs]e|copyright|spdx|\bpublic domain\b|permission is hereby granted|redistribution and use"
+from casemill.sources.session import written
+
 #: Names of licence files, without directory.
 LICENCE_FILE = r"(?i)^(?:un)?(?:licen[cs]e|copying|copyright|notice)(?:[._-].*)?$"
 
@@ -60,14 +65,32 @@ def weighted(given: DataFrame) -> tuple[DataFrame, int]:
     return value.join(length, "template").select("term", "template", "licence", "idf", (F.col("w") / F.col("length")).alias("weight")), n
 
 
-def offers(files: DataFrame) -> DataFrame:
+def anchors(weights: DataFrame, threshold: float) -> list[str] | None:
+    """Terms of which a text holds at least one if its cosine with some template reaches the threshold; None: any text may.
+
+    Read from the templates' terms, a fixed small table.
+    """
+    needed = (threshold - 1e-5) ** 2 if threshold > 1e-5 else 0.0
+    if not needed:
+        return None
+    # any order of a template's terms is exact; long ones are looked for, as texts have fewer of them
+    by_length = W.partitionBy("template").orderBy(F.length("term"), "weight", "term")
+    left = weights.withColumn("left", F.sum(F.col("weight") * F.col("weight")).over(by_length))
+    return sorted(r.term for r in left.filter(F.col("left") >= needed).select("term").distinct().collect())
+
+
+def offers(files: DataFrame, needed: list[str] | None) -> DataFrame:
     """``file, offer, term, tf``: counted terms of each different offer of a file.
 
-    Lines are cut from the whole text. The terms of one offer are counted by a shuffle on (file, offer, term), with
-    partial counts in each task.
+    Lines are cut from the whole text; lines without any of the needed terms are left out. The terms of one offer are
+    counted by a shuffle on (file, offer, term), with partial counts in each task.
     """
     name = F.element_at(F.split("path", "/"), -1)
-    lines = F.filter(F.split(F.coalesce("text", F.lit("")), "\n"), lambda x: F.rlike(x, F.lit(CUE)))
+    lines = F.split(F.coalesce("text", F.lit("")), "\n")
+    if needed is not None:
+        # a needed term that a dot and more letters follow is another term: it only makes one offer more
+        some = F.lit(r"(?i)(?<![a-z0-9+\-])(?:" + "|".join(re.escape(t) for t in needed) + r")(?![a-z0-9+\-])" if needed else "(?!)")
+        lines = F.filter(lines, lambda x: F.rlike(x, some))
     whole = F.when(F.rlike(F.coalesce(name, F.lit("")), F.lit(LICENCE_FILE)), F.array(F.coalesce("text", F.lit("")))).otherwise(F.array().cast("array<string>"))
     each = files.select("file", F.explode(F.array_distinct(F.concat(lines, whole))).alias("offer"))
     return (each.select("file", F.xxhash64("offer").alias("offer"), F.explode(terms(F.col("offer"))).alias("term"))
@@ -80,7 +103,8 @@ def detected(files: DataFrame, given: DataFrame, threshold: float) -> DataFrame:
     idf = weights.select("term", "idf").distinct()
     unseen = F.log(F.lit(1.0 + n)) + 1
     # the templates are a fixed table of a few hundred terms
-    valued = offers(files).join(F.broadcast(idf), "term", "left").withColumn("w", F.col("tf") * F.coalesce("idf", unseen))
+    counted = written(offers(files, anchors(weights, threshold)))
+    valued = counted.join(F.broadcast(idf), "term", "left").withColumn("w", F.col("tf") * F.coalesce("idf", unseen))
     lengths = valued.groupBy("file", "offer").agg(F.sqrt(F.sum(F.col("w") * F.col("w"))).alias("length"))
     dots = valued.join(F.broadcast(weights.select("term", "template", "licence", "weight")), "term").groupBy("file", "offer", "template", "licence").agg(
         F.sum(F.col("w") * F.col("weight")).alias("dot"))
@@ -97,9 +121,10 @@ def scan(files: DataFrame, given: DataFrame, threshold: float = 0.7) -> DataFram
     """``file, path, licence, cosine, from_path`` for every row of ``files(file, path, text)``, repeated rows included.
 
     ``from_path`` is the directory whose licence a file takes, null for its own licence or none. Files with one id are
-    one file; a null id has no licence of its own. Of several licence files in a directory the best match counts. A null path takes nothing from a directory.
+    one file; a null id has no licence of its own. Of several licence files in a directory the best match counts. A null path takes nothing
+    from a directory. A null or empty text offers nothing, and an empty table gives an empty one.
     """
-    found = detected(files, given, threshold)
+    found = written(detected(files, given, threshold))
     named = files.select("file", "path").distinct()
     name = F.element_at(F.split("path", "/"), -1)
     of_directory = (named.filter(F.rlike(F.coalesce(name, F.lit("")), F.lit(LICENCE_FILE))).join(found, "file")

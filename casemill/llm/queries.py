@@ -116,7 +116,7 @@ gw AS (SELECT template, licence, term, tf * idf AS w FROM gc JOIN gi USING (term
 gl AS (SELECT template, sqrt(sum(w * w)) AS length FROM gw GROUP BY template),
 files AS (SELECT doc_id, source || '/' || (doc_id // 100) || '/' || CASE WHEN doc_id % 25 = 0 THEN 'LICENSE' ELSE doc_id || '.txt' END AS path,
   source || '/' || (doc_id // 100) AS directory, coalesce(text, '') AS text, doc_id % 25 = 0 AS is_licence FROM documents),
-o AS (SELECT doc_id, unnest(list_distinct(list_concat(list_filter(string_split(text, chr(10)), lambda x: regexp_matches(x, '{licenses.CUE}')),
+o AS (SELECT doc_id, unnest(list_distinct(list_concat(string_split(text, chr(10)),
   CASE WHEN is_licence THEN [text] ELSE [] END))) AS offer FROM files),
 t AS (SELECT doc_id, offer, term, count(*) AS tf FROM (SELECT doc_id, offer, unnest({_TERMS.format('offer')}) AS term FROM o) GROUP BY ALL),
 v AS (SELECT doc_id, offer, t.term, tf * coalesce(idf, ln({1 + len(licenses.TEMPLATES)}::DOUBLE) + 1) AS w FROM t LEFT JOIN gi ON t.term = gi.term),

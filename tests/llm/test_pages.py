@@ -125,7 +125,7 @@ def brute_licence(text, whole, threshold):
         return math.sqrt(sum(x * x for x in v.values()))
 
     best = []
-    for offer in [x for x in (text or "").split("\n") if re.search(licenses.CUE, x)] + ([text or ""] if whole else []):
+    for offer in (text or "").split("\n") + ([text or ""] if whole else []):
         v = vector(Counter(terms(offer)))
         for (name, _), c in zip(licenses.TEMPLATES, given):
             w = vector(c)
@@ -139,7 +139,8 @@ def test_licences(spark):
     mit = licenses.TEMPLATES[1][1]
     rows = [(1, "p/LICENSE", mit), (2, "p/a/b/x.py", "code"), (3, "p/a/LICENSE.txt", "intro\nLicensed under the Apache License, Version 2.0\nmore"), (4, "q/x.py", "no\nunder licence of nobody"),
             (5, "p/a/y.py", "# Released under the MIT License.\ncode"), (6, None, "x"), (7, "top.py", None), (8, "p/z.py", ""), (8, "p/z.py", ""), (None, "p/c/w.py", "Licensed under CC BY-NC 4.0."),
-            (9, "p/a/COPYING", "x " * 20000), (10, "license_tools/x.py", "LICENSE license licensing")]
+            (9, "p/a/COPYING", "x " * 20000), (10, "license_tools/x.py", "LICENSE license licensing"),
+            (11, "r/x.py", "code\nAll rights reserved.\nmore"), (12, "r/y.py", "[ALL] éRIGHTS, a..reserved"), (13, "r/z.py", "the under and of a to any"), (14, "r/w.py", "CC0 1.0; public domain")]
     files = spark.createDataFrame(rows, "file long, path string, text string").selectExpr("*", "'l' AS licence", "1 AS cosine", "'t' AS term")
     got = {r.file: (r.licence, r.cosine, r.from_path) for r in licenses.scan(files, licenses.templates(spark)).collect()}
     assert licenses.scan(files, licenses.templates(spark)).count() == len(rows)
@@ -147,7 +148,10 @@ def test_licences(spark):
         cosine, name = brute_licence(text, bool(path) and bool(re.match(licenses.LICENCE_FILE, path.split("/")[-1])), 0.7)
         if i is not None and name:
             assert got[i] == (name, cosine, None)
+        elif i is not None:
+            assert got[i][1] is None
     assert got[1][0] == "MIT" and got[2] == ("Apache-2.0", None, "p/a") and got[5][0] == "MIT" and got[8] == ("MIT", None, "p") and got[9] == ("Apache-2.0", None, "p/a")
+    assert got[11][0] == got[12][0] == "proprietary" and got[14][0] == "CC0-1.0"
     assert got[4] == got[6] == got[7] == got[10] == (None, None, None)
     assert licenses.scan(files.limit(0), licenses.templates(spark)).count() == 0
 
