@@ -11,12 +11,14 @@ inside the row, and joins move terms of offers, directories and paths, never tex
 
 from __future__ import annotations
 
+import math
 import re
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from casemill.functions.arrays import run_lengths
 from casemill.sources.session import written
 
 #: Names of licence files, without directory.
@@ -79,11 +81,11 @@ def anchors(weights: DataFrame, threshold: float) -> list[str] | None:
     return sorted(r.term for r in left.filter(F.col("left") >= needed).select("term").distinct().collect())
 
 
-def offers(files: DataFrame, needed: list[str] | None) -> DataFrame:
-    """``file, offer, term, tf``: counted terms of each different offer of a file.
+def offers(files: DataFrame, needed: list[str] | None, idf: dict[str, float], unseen: float, threshold: float) -> DataFrame:
+    """``file, offer, length, term, w``: the templates' terms of each different offer of a file, and the offer's length as a vector.
 
-    Lines are cut from the whole text; lines without any of the needed terms are left out. The terms of one offer are
-    counted by a shuffle on (file, offer, term), with partial counts in each task.
+    Lines are cut from the whole text; lines without any of the needed terms are left out. Terms are counted inside the
+    row. An offer whose template terms are too small a part of its length for the threshold is not shuffled.
     """
     name = F.element_at(F.split("path", "/"), -1)
     lines = F.split(F.coalesce("text", F.lit("")), "\n")
@@ -93,22 +95,32 @@ def offers(files: DataFrame, needed: list[str] | None) -> DataFrame:
         lines = F.filter(lines, lambda x: F.rlike(x, some))
     whole = F.when(F.rlike(F.coalesce(name, F.lit("")), F.lit(LICENCE_FILE)), F.array(F.coalesce("text", F.lit("")))).otherwise(F.array().cast("array<string>"))
     each = files.select("file", F.explode(F.array_distinct(F.concat(lines, whole))).alias("offer"))
-    return (each.select("file", F.xxhash64("offer").alias("offer"), F.explode(terms(F.col("offer"))).alias("term"))
-            .groupBy("file", "offer", "term").agg(F.count("*").alias("tf")))
+    # a fixed table of some hundred terms
+    known = F.create_map(*[F.lit(x) for pair in idf.items() for x in pair])
+    counted = each.select("file", F.xxhash64("offer").alias("offer"), run_lengths(terms(F.col("offer")), "term", "tf").alias("counts"))
+    valued = counted.select("file", "offer", F.transform("counts", lambda c: F.struct(
+        c["term"].alias("term"), c["tf"].alias("tf"), F.try_element_at(known, c["term"]).alias("idf"))).alias("cells"))
+
+    def square(cells: Column) -> Column:
+        return F.aggregate(cells, F.lit(0.0), lambda a, c: a + F.pow(c["tf"] * F.coalesce(c["idf"], F.lit(unseen)), F.lit(2.0)))
+
+    parts = valued.select("file", "offer", square(F.col("cells")).alias("square"), F.filter("cells", lambda c: c["idf"].isNotNull()).alias("cells"))
+    near = parts.filter((F.size("cells") > 0) & (square(F.col("cells")) >= max(threshold - 1e-5, 0.0) ** 2 * F.col("square")))
+    return near.dropDuplicates(["file", "offer"]).select("file", "offer", F.sqrt("square").alias("length"), F.inline("cells")).select(
+        "file", "offer", "length", "term", (F.col("tf") * F.col("idf")).alias("w"))
 
 
 def detected(files: DataFrame, given: DataFrame, threshold: float) -> DataFrame:
     """``file, licence, cosine``: the best template of each file that reaches the threshold; ties by licence name."""
     weights, n = weighted(given)
-    idf = weights.select("term", "idf").distinct()
-    unseen = F.log(F.lit(1.0 + n)) + 1
+    idf = {r.term: r.idf for r in weights.select("term", "idf").distinct().collect()}
+    if not idf:
+        return files.select("file", F.lit(None).cast("string").alias("licence"), F.lit(None).cast("double").alias("cosine")).limit(0)
+    valued = offers(files, anchors(weights, threshold), idf, math.log(1.0 + n) + 1, threshold)
     # the templates are a fixed table of a few hundred terms
-    counted = written(offers(files, anchors(weights, threshold)))
-    valued = counted.join(F.broadcast(idf), "term", "left").withColumn("w", F.col("tf") * F.coalesce("idf", unseen))
-    lengths = valued.groupBy("file", "offer").agg(F.sqrt(F.sum(F.col("w") * F.col("w"))).alias("length"))
-    dots = valued.join(F.broadcast(weights.select("term", "template", "licence", "weight")), "term").groupBy("file", "offer", "template", "licence").agg(
-        F.sum(F.col("w") * F.col("weight")).alias("dot"))
-    near = dots.join(lengths, ["file", "offer"]).withColumn("cosine", F.round(F.col("dot") / F.col("length"), 6)).filter(F.col("cosine") >= threshold)
+    dots = valued.join(F.broadcast(weights.select("term", "template", "licence", "weight")), "term").groupBy(
+        "file", "offer", "length", "template", "licence").agg(F.sum(F.col("w") * F.col("weight")).alias("dot"))
+    near = dots.withColumn("cosine", F.round(F.col("dot") / F.col("length"), 6)).filter(F.col("cosine") >= threshold)
     return near.groupBy("file").agg(F.max_by(F.struct("licence", "cosine"), F.struct(F.col("cosine"), F.col("licence"))).alias("best")).select("file", "best.*")
 
 
