@@ -145,14 +145,6 @@ def drift(old: DataFrame, new: DataFrame) -> DataFrame:
                     F.sum((predicted(F.col("p0")) != predicted(F.col("p1"))).cast("int")).alias("flips"))
 
 
-def quantiles(df: DataFrame, value: str, at: Sequence[float], by: Sequence[str] = ()) -> DataFrame:
-    """Interpolated quantiles, one column each, named q25 for 0.25 and q2_5 for 0.025."""
-    names = [f"q{100 * q:g}".replace(".", "_") for q in at]
-    both = F.percentile(value, F.array(*[F.lit(float(q)) for q in at]))
-    grouped = df.groupBy(*by).agg(F.count(value).alias("n"), both.alias("_q"))
-    return grouped.select(*by, "n", *[F.get("_q", F.lit(i)).alias(n) for i, n in enumerate(names)])
-
-
 def _months(spark, start: str, end: str, month: str) -> DataFrame:
     first, last = F.to_date(F.lit(start + "-01")), F.to_date(F.lit(end + "-01"))
     days = spark.range(1).select(F.explode(F.sequence(first, last, F.expr("interval 1 month"))).alias("d"))

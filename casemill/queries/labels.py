@@ -334,7 +334,7 @@ def crosstab(spark, d):
 @query("""SELECT lang, count(n_chars) AS n, quantile_cont(n_chars, 0.025) AS q2_5, quantile_cont(n_chars, 0.25) AS q25,
   quantile_cont(n_chars, 0.5) AS q50, quantile_cont(n_chars, 0.975) AS q97_5 FROM documents GROUP BY lang""")
 def quartiles(spark, d):
-    return M.quantiles(D.table(spark, d, "documents"), "n_chars", [0.025, 0.25, 0.5, 0.975], ["lang"])
+    return O.quantiles(D.table(spark, d, "documents"), "n_chars", [0.025, 0.25, 0.5, 0.975], ["lang"])
 
 
 @query("WITH " + D.LABELS + """ SELECT case_no, section, action_date, report_month, summary_rules, doc_rules FROM cases""")

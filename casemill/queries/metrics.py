@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from casemill.operators import bootstrap as B
 from casemill.operators import metrics as M
+from casemill.operators import ordering as O
 from casemill.queries import derived as D
 from casemill.sources import files as S
 
@@ -180,4 +181,4 @@ def bootstrap_macro_f1(spark, d):
 
 @query("""SELECT event_type, count(value) AS n, quantile_cont(value, 0.5) AS q50 FROM events GROUP BY event_type""")
 def median_seconds(spark, d):
-    return M.quantiles(D.table(spark, d, "events"), "value", [0.5], ["event_type"])
+    return O.quantiles(D.table(spark, d, "events"), "value", [0.5], ["event_type"])

@@ -60,8 +60,7 @@ def bm25_index(spark, d):
 def bm25_topk(spark, d):
     docs = D.spread_table(spark, d, "documents", "doc_id").select("doc_id", "text")
     queries = D.table(spark, d, "benchmark").select("item_id", F.col("text").alias("q"))
-    scores = bm25.search(docs, "doc_id", F.col("text"), queries, "item_id", F.col("q"))
-    top = O.best_per_key(scores, ["item_id"], [F.col("score").desc(), F.col("doc_id").asc()], 5, rank="rank")
+    top = bm25.search_top(docs, "doc_id", F.col("text"), queries, "item_id", F.col("q"), 5)
     return top.withColumn("score", D.r6("score"))
 
 
@@ -77,8 +76,7 @@ def bm25_titled_topk(spark, d):
     titled = docs.select("doc_id", F.concat_ws(" ", "source", "lang", "text").alias("text"))
     queries = docs.filter("doc_id % 20 = 0").select(
         F.col("doc_id").alias("query_id"), F.concat("source", F.lit(" "), "lang", F.lit(" "), F.substring("text", 1, 40)).alias("q"))
-    scores = bm25.search(titled, "doc_id", F.col("text"), queries, "query_id", F.col("q"))
-    top = O.best_per_key(scores, ["query_id"], [F.col("score").desc(), F.col("doc_id").asc()], 5, rank="rank")
+    top = bm25.search_top(titled, "doc_id", F.col("text"), queries, "query_id", F.col("q"), 5)
     return top.withColumn("score", D.r6("score"))
 
 

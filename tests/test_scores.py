@@ -3,6 +3,7 @@
 import json
 import math
 import random
+import re
 from collections import Counter
 
 import numpy as np
@@ -124,6 +125,24 @@ def _brute(texts, vectors, rules, asked, k, conduct):
     return out
 
 
+@pytest.mark.parametrize("k", [1, 7, 500])
+def test_best_documents_are_those_of_all_scores(spark, k):
+    book, queries, *_ = _book(spark)
+    # repeated rows are one document of twice the terms, as in the scores
+    docs = book.select("chunk_id", "text").unionByName(book.select("chunk_id", "text").limit(3))
+    index = bm25.build_index(docs, "chunk_id", F.col("text"))
+    best = {}
+    for r in index.scores(queries, "q", F.col("text")).collect():
+        best.setdefault(r.q, []).append((-r.score, r.chunk_id))
+    want = sorted((q, c, -s, n + 1) for q, rows in best.items() for n, (s, c) in enumerate(sorted(rows)[:k]))
+    top = index.top(queries, "q", F.col("text"), k)
+    assert sorted(tuple(r) for r in top.select("q", "chunk_id", "score", "rank").collect()) == want
+    # term rows are shuffled by document and the best rows by query, never pairs of both
+    shuffled = re.findall(r"Exchange hashpartitioning\(([^)]*)", top._jdf.queryExecution().executedPlan().toString())
+    by = [re.findall(r"(\w+)#", keys) for keys in shuffled]
+    assert ["chunk_id"] in by and ["q"] in by and ["q", "chunk_id"] not in by
+
+
 @pytest.mark.parametrize("conduct,k", [(False, 5), (True, 3), (True, 40)])
 def test_rankings_match_brute_force(spark, conduct, k):
     book, queries, texts, vectors, rules, asked = _book(spark)

@@ -96,3 +96,42 @@ def test_thirds_are_equal_frequency_bins(spark, n):
     names = ["short", "medium", "long"][:min(3, n)]
     want = pd.qcut(pd.Series(np.arange(1, n + 1)), min(3, n), labels=names) if n > 1 else pd.Series(["short"])
     assert got.tolist() == want.astype(str).tolist()
+
+
+@pytest.fixture
+def many_ranges(spark):
+    """Small ranges stay apart, as they would on a large table."""
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    yield
+    spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+
+
+def test_values_are_carried_over_range_borders(spark, many_ranges):
+    # key a holds most rows and is cut into several ranges, some of them without any value; a null key is a key
+    rng = np.random.default_rng(5)
+    rows = [("a", i, f"v{i}" if rng.random() < 0.02 else None) for i in range(400)]
+    rows += [(k, i, "w" if i == 1 else None) for k in (None, "b", "c") for i in range(4)] + [("0", 0, None)]
+    df = spark.createDataFrame([rows[i] for i in rng.permutation(len(rows))], "k string, i int, v string").repartition(7)
+    want, seen = {}, {}
+    for k, i, v in rows:
+        seen[k] = seen.get(k) if v is None else v
+        want[k, i] = seen[k]
+    got = O.carry_forward(df, ["k"], ["i"], "v", "out")
+    assert got.columns == ["k", "i", "v", "out"] and {(r.k, r.i): r.out for r in got.collect()} == want
+    parts = O._ranges(df, [F.col("k"), F.col("i")]).filter("k = 'a'").select("_part").distinct().count()
+    assert parts > 3
+    assert O.carry_forward(df.limit(0), ["k"], ["i"], "v", "out").count() == 0
+
+
+def test_quantiles_by_selection(spark, many_ranges):
+    rng = np.random.default_rng(6)
+    groups = {"hot": rng.integers(0, 900, 3000) / 4, "one": np.array([7.0]), "two": np.array([1.0, 2.0]), None: rng.normal(size=50), "same": np.full(40, 3.0)}
+    rows = [(g, float(x)) for g, values in groups.items() for x in values] + [("hot", None), ("empty", None), ("empty", None)]
+    df = spark.createDataFrame(rows, "g string, x double").repartition(5)
+    at = [0.0, 0.025, 0.25, 0.5, 0.975, 1.0]
+    got = {r.g: r for r in O.quantiles(df, "x", at, ["g"]).collect()}
+    assert got.keys() == {*groups, "empty"} and tuple(got["empty"]) == ("empty", 0, *[None] * 6)
+    for g, values in groups.items():
+        assert got[g].n == len(values) and list(got[g][2:]) == pytest.approx(np.quantile(values, at).tolist())
+    whole = O.quantiles(df, "x", [0.5]).first()
+    assert whole.n == len(rows) - 3 and whole.q50 == pytest.approx(np.median([x for _, x in rows if x is not None]))
