@@ -8,6 +8,7 @@ windows and then into powers of two, which need no padding. A task packs its own
 
 from __future__ import annotations
 
+import json
 import os
 import zlib
 from collections.abc import Iterator
@@ -23,23 +24,21 @@ from casemill.llm.worker import kept
 
 WINDOW = 2048
 END = 1
-#: Spaced words kept with their ids in a worker, in two generations: words met again move to the newer one, the older
-#: one is dropped when the newer is full. This changes no id.
-REMEMBERED = 250_000
 #: Rows of pieces handed on at once.
 HANDED_ON = 20_000
 
 
 class Encoder:
-    """Byte-level BPE ids of whole texts as little-endian bytes, four per id.
+    """Byte-level BPE ids of whole texts as little-endian bytes, four per id, as the tokenizers library gives them.
 
-    The tokenizer's own word pattern never joins what stands before a space with what follows, if the space has text on
-    its right. So texts are cut at spaces, and each distinct part is encoded once, with its space. Letters with closing
-    punctuation fall into two words of the pattern, which are kept apart too. A text with a space before other white
-    space or at its end, or with a special token, is encoded whole.
+    If ids rise in the order of merges and every token's own bytes merge to it, then two neighbours that make a token are
+    always that token's merge, and merging by ranks gives the same ids: ``tiktoken`` does that, several times as fast.
+    Both conditions are checked on the vocabulary. Texts with a special token, and any text under another kind of
+    vocabulary, are encoded by ``tokenizers`` itself.
     """
 
-    CLOSING = ".,;:!?*#&%$|"
+    #: Fixed value: the word pattern of byte-level vocabularies.
+    PATTERN = r"'(?:[sdmt]|ll|ve|re)| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 
     def __init__(self, path: str) -> None:
         os.environ["TOKENIZERS_PARALLELISM"] = "false"  # Spark spreads the work
@@ -47,67 +46,37 @@ class Encoder:
 
         self.tokenizer = Tokenizer.from_file(path)
         self.special = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
-        self.older: dict[str, bytes | None] = {}
-        self.spaced: dict[str, bytes | None] = {}  # parts after a space; None: not to be cut before this part
-        self.bare: dict[str, bytes] = {"": b""}  # first parts and closing punctuation
+        self.ranked = self._ranked(json.loads(self.tokenizer.to_str()))
+
+    def _ranked(self, given: dict):
+        """The same vocabulary merged by ranks; None if that could give other ids."""
+        import tiktoken
+
+        model, words = given["model"], given["pre_tokenizer"] or {}
+        plain = words.get("type") == "ByteLevel" and words.get("use_regex", True) and not words.get("add_prefix_space", True)
+        if given["normalizer"] or not plain or model["type"] != "BPE" or model.get("dropout") or model.get("continuing_subword_prefix") \
+                or model.get("end_of_word_suffix") or model.get("ignore_merges"):
+            return None
+        merged = [model["vocab"]["".join(m.split(" ") if isinstance(m, str) else m)] for m in model["merges"]]
+        # bytes that print stand for themselves, the others for the characters from 256 on
+        shown = {b for b in range(256) if 33 <= b <= 126 or 161 <= b <= 255 and b != 173}
+        byte = {chr(b): b for b in shown} | {chr(256 + i): b for i, b in enumerate(b for b in range(256) if b not in shown)}
+        tokens = {t: i for t, i in model["vocab"].items() if t not in self.special}
+        if merged != sorted(merged) or not set("".join(tokens)) <= byte.keys():
+            return None
+        ranks = {bytes(byte[c] for c in t): i for t, i in tokens.items()}
+        if any(bytes([b]) not in ranks for b in range(256)):
+            return None
+        ranked = tiktoken.Encoding("ranks", pat_str=self.PATTERN, mergeable_ranks=ranks, special_tokens={})
+        return ranked if all(ranked._core_bpe.encode_single_piece(t) == [i] for t, i in ranks.items()) else None
 
     def __call__(self, texts: list[str]) -> list[bytes]:
-        parts = [t.split(" ") for t in texts]
-        firsts = [p.pop(0) for p in parts]
-        wanted = set().union(*parts)
-        new = wanted.difference(self.spaced)
-        if len(self.spaced) + len(new) > REMEMBERED // 2:
-            self.older, self.spaced = self.spaced, {}
-            new = wanted
-        again = new.intersection(self.older)
-        self.spaced.update((w, self.older[w]) for w in again)
-        self._learn(new - again)
-        self._learn_bare(set(firsts))
-        spaced, out = self.spaced.__getitem__, []
-        for text, first, rest in zip(texts, firsts, parts):
-            ids = [self.bare[first], *map(spaced, rest)]
-            out.append(self._whole(text) if None in ids or any(s in text for s in self.special) else b"".join(ids))
-        if len(self.bare) > REMEMBERED:
-            self.bare = {"": b""}
-        return out
-
-    def _whole(self, text: str) -> bytes:
-        return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, dtype="<u4").tobytes()
-
-    def _each(self, words: list[str]) -> list[bytes]:
-        out: list[bytes] = []
-        for at in range(0, len(words), 20_000):
-            part = words[at:at + 20_000]
-            found = self.tokenizer.encode(part, is_pretokenized=True, add_special_tokens=False)
-            ids = np.array(found.ids, dtype="<u4").tobytes()
-            ends = (np.searchsorted(np.array(found.word_ids), np.arange(len(part)), side="right") * 4).tolist()
-            out += [ids[a:b] for a, b in zip([0, *ends], ends)]
-        return out
-
-    def _learn(self, new: set[str]) -> None:
-        spaced = self.spaced
-        split: dict[str, tuple[str, str]] = {}
-        alone: dict[str, None] = {}
-        for part in new:
-            if not part or part[0].isspace():
-                spaced[part] = None
-                continue
-            head = part.rstrip(self.CLOSING)
-            if len(head) < len(part) and head.isalpha():
-                split[part] = head, part[len(head):]
-                if head not in spaced:
-                    alone[head] = None
-            else:
-                alone[part] = None
-        for part, ids in zip(alone, self._each([" " + p for p in alone])):
-            spaced[part] = ids
-        self._learn_bare({tail for _, tail in split.values()})
-        for part, (head, tail) in split.items():
-            spaced[part] = spaced[head] + self.bare[tail]
-
-    def _learn_bare(self, words: set[str]) -> None:
-        new = [w for w in words if w not in self.bare]
-        self.bare.update(zip(new, self._each(new)))
+        return [np.array(self._ids(t), dtype="<u4").tobytes() for t in texts]
+
+    def _ids(self, text: str) -> list[int]:
+        if self.ranked is None or any(s in text for s in self.special):
+            return self.tokenizer.encode(text, add_special_tokens=False).ids
+        return self.ranked.encode_ordinary(text)
 
 
 class Levels:

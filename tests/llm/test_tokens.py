@@ -1,5 +1,6 @@
 """Packing, pieces and language-model scores against brute force."""
 
+import json
 import math
 import random
 import zlib
@@ -191,3 +192,19 @@ def test_nothing_to_learn_from(spark):
     assert [(r.doc_id, r.n_known, r.train_tokens, r.base_score) for r in rows] == [(1, 0, 0, 0.0), (2, 0, 0, 0.0)]
     assert rows[0].score == pytest.approx(-3 * math.log10(257)) and rows[1].score == pytest.approx(-math.log10(257))
     assert ppm.scores(docs.limit(0), F.lit(True)).count() == 0
+
+
+def test_ranks_are_used_only_where_they_give_the_same_ids():
+    encoder = packing.Encoder(BPE)
+    whole = encoder.tokenizer.encode
+    assert encoder.ranked is not None
+    # every character in several places, and long runs
+    texts = ["\n".join(f"a{chr(c)}b 1{chr(c)}2 {chr(c)} {chr(c)}!" for c in range(at, at + 64)) for at in range(0, 0x3400, 64)]
+    texts += ["x" * 50_000, " " * 50_000 + "y", "\t \n" * 20_000, "a <|endoftext|> b", "it's we'LL '\u2019s"]
+    for text in texts:
+        assert encoder([text])[0] == np.array(whole(text, add_special_tokens=False).ids, dtype="<u4").tobytes()
+    given = json.loads(encoder.tokenizer.to_str())
+    merges = given["model"]["merges"]
+    turned = {**given, "model": {**given["model"], "merges": merges[1:] + merges[:1]}}
+    prefixed = {**given, "pre_tokenizer": {**given["pre_tokenizer"], "add_prefix_space": True}}
+    assert encoder._ranked(turned) is None and encoder._ranked(prefixed) is None
