@@ -241,3 +241,21 @@ def test_labels_are_trained_together_as_one_by_one(spark, monkeypatch):
     p = {(r.doc_id, r.series): r.p for r in classifier.predict_labels([group], vectors, "doc_id", "m").collect()}
     again = {(r.doc_id, r.series): r.p for r in classifier.predict_labels(apart, vectors, "doc_id", "m").collect()}
     assert len(p) == 360 and p == pytest.approx(again, abs=1e-4)
+
+
+def test_bm25_top_of_many_copies(spark):
+    """Copies tie and the smallest ids win, over tasks and blocks of sets; queries of the same words get the same rows."""
+    texts = ["alpha beta", "alpha gamma gamma", "beta delta", "epsilon", ""]
+    docs = spark.createDataFrame([(i, texts[i * 7 % 5]) for i in range(3000)], "id long, text string").repartition(3, "text")
+    asks = ["alpha beta", "beta alpha beta", "gamma", "none", "epsilon delta", "delta", ""]
+    queries = spark.createDataFrame(list(enumerate(asks)), "q int, ask string")
+    index = bm25.build_index(docs, "id", F.col("text"))
+    scores = index.scores(queries, "q", F.col("ask")).collect()
+    expected = {}
+    for r in sorted(scores, key=lambda r: (r.q, -r.score, r.id)):
+        expected.setdefault(r.q, []).append((r.id, r.score))
+    expected = sorted((q, i, s, at) for q, best in expected.items() for at, (i, s) in enumerate(best[:4], 1))
+    for top in (bm25.search_top(docs, "id", F.col("text"), queries, "q", F.col("ask"), 4), index.top(queries, "q", F.col("ask"), 4)):
+        assert sorted(map(tuple, top.collect())) == expected
+        assert "MapInArrow" in top._jdf.queryExecution().toString()  # no rows of query and document
+    assert len(expected) == 20
