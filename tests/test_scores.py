@@ -259,3 +259,20 @@ def test_bm25_top_of_many_copies(spark):
         assert sorted(map(tuple, top.collect())) == expected
         assert "MapInArrow" in top._jdf.queryExecution().toString()  # no rows of query and document
     assert len(expected) == 20
+
+
+def test_descent_needs_few_passes():
+    """Many columns of unequal weight: the remembered steps keep the number of passes low."""
+    from casemill.operators import regression
+    rng = np.random.default_rng(5)
+    x = rng.random((300, 400)) * (rng.random((300, 400)) < 0.05) * np.logspace(0, -2, 400)
+    x[:, 0] = 1
+    y = (x[:, 1:40].sum(axis=1) + 0.05 * rng.standard_normal(300) > np.median(x[:, 1:40].sum(axis=1))).astype(float)
+    descent, passes = regression.Descent(400), 0
+    while not descent.done and passes < 500:
+        p = 0.5 * (1 + np.tanh(0.5 * (x @ descent.trial)))
+        loss = np.mean(np.logaddexp(0, np.where(y == 1, -1, 1) * (x @ descent.trial))) + 0.5 * 1e-4 * descent.trial @ descent.trial
+        descent.told(loss, x.T @ (p - y) / 300 + 1e-4 * descent.trial)
+        passes += 1
+    assert descent.done and np.abs(descent.gradient).max() <= descent.goal
+    assert passes < 80
