@@ -113,3 +113,21 @@ def test_a_large_group_of_near_copies_takes_few_comparisons(spark, monkeypatch):
         assert caught >= 0.95 * len(siblings), (copies, caught, len(siblings))
         counts.append(sum(compared))
     assert counts[1] < 8 * counts[0], counts  # four times the texts; all pairs would be sixteen times
+
+
+def test_entries_of_a_batch_need_little_memory():
+    """A batch's hashes are arrays: some 700 bytes a text at most, not Python numbers by the hundred."""
+    import tracemalloc
+
+    import pyarrow as pa
+    texts = [None, "", "one two", *[f"word{i} " * 3 + "a b c d e f" for i in range(2000)]]
+    given = pa.array(texts, pa.string())
+    resemblance.entries(given.slice(0, 10))
+    tracemalloc.start()
+    found = resemblance.entries(given)
+    most = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert most < 1300 * len(texts)
+    rows = found.to_pylist()
+    for i in (0, 1, 2, 3, 999, 2002):
+        assert tuple(rows[i].values()) == resemblance.entry_of(texts[i])
