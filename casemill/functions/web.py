@@ -166,15 +166,16 @@ def _cell(row: Column, css_class: str) -> Column:
 def listing_row(row: Column, page_url: Column) -> Column:
     """``struct<case_no, doc_url, doc_type, respondent, action_date>`` of a listing row; null without a document."""
     def read(cell: Column) -> Column:
-        url = F.get(links(cell, page_url), F.lit(0))
-        name = F.coalesce(F.try_url_decode(F.regexp_replace(F.substring_index(url, "/", -1), r"\+", "%2B")), url)
-        in_name = F.nullif(F.regexp_extract(name, P.CASE_IN_FILE_NAME, 1), F.lit(""))
-        in_text = F.nullif(F.regexp_replace(F.array_join(text_nodes(cell), ""), r"(?U)\D", ""), F.lit(""))
+        return let(F.get(links(cell, page_url), F.lit(0)), lambda url: F.when(url.isNotNull(), of(cell, url)))
 
+    def of(cell: Column, url: Column) -> Column:
         def text_of(css: str) -> Column:
             return F.array_join(text_nodes(_cell(row, P.LISTING_CELLS[css])), " ")
-        return F.when(url.isNotNull(), F.struct(
+        name = F.coalesce(F.try_url_decode(F.regexp_replace(F.substring_index(url, "/", -1), r"\+", "%2B")), url)
+        in_name = F.nullif(F.regexp_extract(name, P.CASE_IN_FILE_NAME, 1), F.lit(""))
+        in_text = F.nullif(F.regexp_replace(F.array_join(text_nodes(cell), ""), r"(?U)\D", ""), F.lit(""))
+        return F.struct(
             F.coalesce(in_name, in_text).alias("case_no"), url.alias("doc_url"),
             text_of("doc_type").alias("doc_type"), text_of("respondent").alias("respondent"),
-            F.try_to_date(text_of("action_date"), "MM/dd/yyyy").alias("action_date")))
+            F.try_to_date(text_of("action_date"), "MM/dd/yyyy").alias("action_date"))
     return let(_cell(row, P.LISTING_CELLS["file"]), read)

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from casemill.functions import rulebook as B
 from casemill.functions import web
 from casemill.operators.ordering import global_row_number, keep_first
+from casemill.sources.tables import tasks
 
 
 def page_chunks(pages: DataFrame) -> DataFrame:
@@ -63,5 +64,9 @@ def rule_pages(pages: DataFrame) -> DataFrame:
 def listing_rows(pages: DataFrame) -> DataFrame:
     """Document rows of listing pages; a document listed twice keeps its first row."""
     rows = pages.select("page_id", "url", F.posexplode(web.table_rows(F.col("html"))).alias("pos", "tr"))
-    parsed = rows.select("page_id", "pos", web.listing_row(F.col("tr"), F.col("url")).alias("d")).filter("d is not null")
-    return keep_first(parsed.select("page_id", "pos", "d.*"), ["doc_url"], ["page_id", "pos"]).drop("page_id", "pos")
+    # inlined, so a row is read once: a filter on the parsed row would read it again. Rows are dealt to tasks by their page and
+    # place, as a few small pages or one long list would otherwise be few tasks' work
+    dealt = rows.repartition(tasks(rows), "page_id", "pos")
+    parsed = dealt.select("page_id", "pos", F.array(web.listing_row(F.col("tr"), F.col("url"))).alias("d"))
+    parsed = parsed.select("page_id", "pos", F.inline(F.filter("d", lambda x: x.isNotNull())))
+    return keep_first(parsed, ["doc_url"], ["page_id", "pos"]).drop("page_id", "pos")
