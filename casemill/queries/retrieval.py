@@ -131,13 +131,17 @@ def word_windows(spark, d):
 
 
 
-def _vector_chunks(spark, d):
-    """Every document as a chunk of a rule, with the vectors dealt out in turn; a rule above 9000 is no conduct rule."""
+def _book(spark, d, *columns):
+    """Every document that has a vector as a chunk of a rule, with the vectors dealt out in turn; a rule above 9000 is no conduct rule."""
     vectors = D.table(spark, d, "embeddings", "vec_id", "embedding")
-    docs = D.table(spark, d, "documents", "doc_id", "text").withColumn("vec_id", F.col("doc_id") % vectors.agg(F.count("*")).scalar()).join(vectors, "vec_id")
-    rows = O.global_row_number(docs, [F.col("doc_id")], "_n")
     rule = F.concat((1000 + F.col("doc_id") % 400 * 21).cast("string"), F.lit(".01"))
-    return written(rows.select((F.col("_n") - 1).alias("chunk_id"), rule.alias("rule_no"), F.lit("t").alias("title"), "text", "embedding"))
+    return D.table(spark, d, "documents", "doc_id", "text").withColumn("vec_id", F.col("doc_id") % vectors.agg(F.count("*")).scalar()).join(
+        vectors, "vec_id").select("doc_id", rule.alias("rule_no"), *columns)
+
+
+def _vector_chunks(spark, d):
+    rows = O.global_row_number(_book(spark, d, "text", "embedding"), [F.col("doc_id")], "_n")
+    return written(rows.select((F.col("_n") - 1).alias("chunk_id"), "rule_no", F.lit("t").alias("title"), "text", "embedding"))
 
 
 def _searches(spark, d):
@@ -172,10 +176,14 @@ def dense_topk(spark, d):
     return nearest(vectors, _searches(spark, d), "chunk_id", "item_id").withColumn("score", D.r6("score"))
 
 
+def _scores(book, searches):
+    index = bm25.build_index(book.select("chunk_id", "text"), "chunk_id", F.col("text"), bm25.query_terms(searches, "item_id", F.col("q")))
+    return written(index.scores(searches, "item_id", F.col("q")))
+
+
 def _ranked(spark, d):
     book, searches = _vector_chunks(spark, d), _searches(spark, d)
-    index = bm25.build_index(book.select("chunk_id", "text"), "chunk_id", F.col("text"), bm25.query_terms(searches, "item_id", F.col("q")))
-    scores = written(index.scores(searches, "item_id", F.col("q")))
+    scores = _scores(book, searches)
     wanted = ["item_id", "chunk_id", "rule", "score", "rank"]
     lists = {"bm25": FU.top_rules(scores, book, searches, "item_id", conduct_only=True),
              "dense": FU.dense_rules(book, searches, "item_id", conduct_only=True),
@@ -193,12 +201,16 @@ _GOLD = _BOTH + """, gold AS (SELECT item_id, [CAST(1000 + item_id % 400 * 21 AS
   hits AS (SELECT t.retriever, t.item_id, min(CASE WHEN list_contains(gold, rule) THEN rank END) AS first FROM top5 t JOIN gold g ON t.item_id = g.item_id GROUP BY 1, 2)"""
 
 
-def _hits(spark, d):
-    ranked, book, searches = _ranked(spark, d)
+def _gold(searches):
     i = F.col("item_id")
     rule = lambda n: (1000 + n % 400 * 21).cast("string")
-    gold = searches.select("item_id", F.when(F.col("label") != 9, F.array(rule(i), rule(i * 7 + 3))).otherwise(F.array().cast("array<string>")).alias("gold"))
-    return written(FU.retrieval_hits(ranked, gold, "item_id")), gold, book, searches
+    return searches.select("item_id", F.when(F.col("label") != 9, F.array(rule(i), rule(i * 7 + 3))).otherwise(F.array().cast("array<string>")).alias("gold"))
+
+
+def _hits(spark, d):
+    ranked, _, searches = _ranked(spark, d)
+    gold = _gold(searches)
+    return written(FU.retrieval_hits(ranked, gold, "item_id")), gold, searches
 
 
 @query(_GOLD + """ SELECT retriever, count(*) AS cases, round(avg(CASE WHEN first IS NOT NULL THEN 1 ELSE 0 END), 6) AS hit_rate,
@@ -213,14 +225,14 @@ def retrieval_report(spark, d):
   thirds AS (SELECT item_id, CASE WHEN 3 * r < n - 1 THEN 'short' WHEN 3 * r < 2 * (n - 1) THEN 'medium' ELSE 'long' END AS third FROM r)
   SELECT retriever, third, count(*) AS cases, round(avg(CASE WHEN first IS NOT NULL THEN 1 ELSE 0 END), 6) AS hit_rate, round(avg(coalesce(1 / first, 0)), 6) AS mrr FROM hits h JOIN thirds t ON h.item_id = t.item_id GROUP BY 1, 2""")
 def hits_by_length(spark, d):
-    hits, _, _, searches = _hits(spark, d)
+    hits, _, searches = _hits(spark, d)
     return FU.hits_by_length(hits, searches, "item_id", "q").select("retriever", "third", "cases", D.r6("hit_rate").alias("hit_rate"), D.r6("mrr").alias("mrr"))
 
 
 @query(_GOLD + """, s AS (SELECT DISTINCT item_id, 'FINRA:' || CAST(CAST(g AS INTEGER) // 1000 * 1000 AS VARCHAR) AS series FROM (SELECT item_id, unnest(gold) AS g FROM gold))
   SELECT retriever, series, count(*) AS cases, round(avg(CASE WHEN first IS NOT NULL THEN 1 ELSE 0 END), 6) AS hit_rate, round(avg(coalesce(1 / first, 0)), 6) AS mrr FROM hits h JOIN s ON h.item_id = s.item_id GROUP BY 1, 2""")
 def hits_by_series(spark, d):
-    hits, gold, _, _ = _hits(spark, d)
+    hits, gold, _ = _hits(spark, d)
     return FU.hits_by_series(hits, gold, "item_id").select("retriever", "series", "cases", D.r6("hit_rate").alias("hit_rate"), D.r6("mrr").alias("mrr"))
 
 
@@ -241,21 +253,23 @@ def most_listed(spark, d):
 @query(_GOLD + """ SELECT item_id, len(list_filter(gold, lambda g: g IN (SELECT rule FROM vchunks))) > 0 AS gold_in_book FROM gold""".replace(
     "len(list_filter(gold, lambda g: g IN (SELECT rule FROM vchunks))) > 0", "gold[1] IN (SELECT rule FROM vchunks) OR gold[2] IN (SELECT rule FROM vchunks)"))
 def gold_in_book(spark, d):
-    _, gold, book, _ = _hits(spark, d)
-    return FU.gold_in_book(gold, book, "item_id")
+    """No ranking is needed, only the searches and the rules of the chunks."""
+    return FU.gold_in_book(_gold(_searches(spark, d)), _book(spark, d), "item_id")
 
 
 @query(_GOLD + """, p AS (SELECT CASE WHEN CAST(g AS INTEGER) < 9000 THEN 'conduct rules (0100-8000)' ELSE 'Code of Procedure (9000)' END AS part FROM (SELECT unnest(gold) AS g FROM gold))
   SELECT part, count(*) AS n, round(count(*) / (SELECT count(*) FROM p), 6) AS share FROM p GROUP BY part""")
 def gold_by_part(spark, d):
-    return FU.gold_by_part(_hits(spark, d)[1]).withColumn("share", D.r6("share"))
+    return FU.gold_by_part(_gold(_searches(spark, d))).withColumn("share", D.r6("share"))
 
 
 @query(_BOTH + """ SELECT item_id, string_agg('[' || CAST(rank AS VARCHAR) || '] Rule ' || t.rule || '.01: t' || chr(10) || c.text, chr(10) || chr(10) ORDER BY rank) AS excerpts
   FROM top5 t JOIN vchunks c ON t.chunk_id = c.chunk_id WHERE retriever = 'bm25' GROUP BY item_id""")
 def excerpt_texts(spark, d):
-    ranked, book, _ = _ranked(spark, d)
-    return FU.excerpts(ranked.filter("retriever = 'bm25'"), book, "item_id")
+    """Only the ranking by words is quoted, so only that is worked out."""
+    book, searches = _vector_chunks(spark, d), _searches(spark, d)
+    ranked = FU.top_rules(_scores(book, searches), book, searches, "item_id", conduct_only=True)
+    return FU.excerpts(ranked, book, "item_id")
 
 
 # --- rule titles in texts ------------------------------------------------------------------------------------
