@@ -2,7 +2,10 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import Column, DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from casemill import constants as C
@@ -55,32 +58,29 @@ def dense_rules(chunks: DataFrame, queries: DataFrame, query_id: str, k: int = C
 def _bm25_ranks(scores: DataFrame, candidates: DataFrame, query_id: str) -> DataFrame:
     """Exact BM25 rank of each candidate over all chunks, chunks without a match last in chunk order.
 
-    Each score row falls into one slot between its query's candidates, so it adds one row to a count per
-    (query, slot); no score row is paired with every candidate.
+    The scores are numbered by one range-partitioned sort and the candidates read their numbers, so a score row is compared
+    with its neighbours in the order, not with every candidate, however deep the candidates reach.
     """
-    known = candidates.join(scores, [query_id, "chunk_id"], "left")
-    lists = known.groupBy(query_id).agg(
-        F.sort_array(F.collect_list(F.when(F.col("score").isNotNull(), F.struct((-F.col("score")).alias("s"), "chunk_id")))).alias("matched"),
-        F.sort_array(F.collect_list(F.when(F.col("score").isNull(), F.col("chunk_id")))).alias("unmatched"))
-    me = F.struct((-F.col("score")).alias("s"), F.col("chunk_id").alias("chunk_id"))
-    # a row is better than the candidates after these
-    at = F.size(F.filter("matched", lambda c: c <= me))
-    before = F.size(F.filter("unmatched", lambda c: c <= F.col("chunk_id")))
-    slots = scores.join(lists, query_id).select(query_id, at.alias("m"), before.alias("u")).groupBy(query_id, "m", "u").agg(
-        F.count("*").alias("n"))
-    # slots per query are bounded by the candidates; sum them into ranks
-    per_query = slots.groupBy(query_id).agg(F.collect_list(F.struct("m", "u", "n")).alias("slots"), F.sum("n").alias("all"))
-
-    def below(field: str, limit: Column) -> Column:
-        return F.aggregate(F.filter("slots", lambda s: s[field] <= limit), F.lit(0).cast("bigint"), lambda a, s: a + s["n"])
-    ranked = lists.join(per_query, query_id, "left").withColumn(
-        "slots", F.coalesce("slots", F.array().cast("array<struct<m:int,u:int,n:bigint>>"))).withColumn(
-        "all", F.coalesce("all", F.lit(0)))
-    of_matched = F.transform("matched", lambda c, i: F.struct(
-        c["chunk_id"].alias("chunk_id"), (below("m", i) + 1).alias("rank")))
-    of_unmatched = F.transform("unmatched", lambda c, i: F.struct(
-        c.alias("chunk_id"), (F.col("all") + c - below("u", i) + 1).alias("rank")))
-    return ranked.select(query_id, F.inline(F.concat(of_matched, of_unmatched)))
+    matched = _numbered(scores, query_id, [F.col("score").desc(), F.col("chunk_id")], "rank").join(candidates, [query_id, "chunk_id"], "left_semi")
+    # an unmatched chunk follows all matched ones and the unmatched ones before it
+    unmatched = written(candidates.join(scores, [query_id, "chunk_id"], "left_anti").select(query_id, "chunk_id"))
+    some = unmatched.select(query_id).distinct()
+    own = scores.join(some, query_id, "left_semi")
+    both = own.select(query_id, "chunk_id", F.lit(False).alias("_asked")).unionByName(unmatched.withColumn("_asked", F.lit(True)))
+    asked = _numbered(both, query_id, [F.col("chunk_id")], "_place").filter("_asked")
+    # candidates per query are bounded
+    nth = F.row_number().over(W.partitionBy(query_id).orderBy("chunk_id"))
+    counts = own.groupBy(query_id).agg(F.count("*").alias("_all"))
+    last = asked.withColumn("_before", F.col("_place") - nth).join(counts, query_id, "left").select(
+        query_id, "chunk_id", (F.coalesce("_all", F.lit(0)) + F.col("chunk_id") - F.col("_before") + 1).alias("rank"))
+    return matched.select(query_id, "chunk_id", "rank").unionByName(last)
+
+
+def _numbered(rows: DataFrame, query_id: str, order: Sequence[Column], name: str) -> DataFrame:
+    """Rows numbered from 1 in each query. One range-partitioned sort over all queries, so a query is never one task."""
+    numbered = global_row_number(rows, [F.col(query_id), *order], "_n")
+    first = numbered.groupBy(query_id).agg(F.min("_n").alias("_first"))
+    return numbered.join(first, query_id).withColumn(name, F.col("_n") - F.col("_first") + 1).drop("_n", "_first")
 
 
 def _whole_ranks(scores: DataFrame, chunks: DataFrame, queries: DataFrame, query_id: str) -> DataFrame:
@@ -93,9 +93,7 @@ def _whole_ranks(scores: DataFrame, chunks: DataFrame, queries: DataFrame, query
     both = written(words_too.select(query_id, "chunk_id", "ds", "ws"))
 
     def ranked(score: str, name: str) -> DataFrame:
-        rows = global_row_number(both.select(query_id, "chunk_id", score), [F.col(query_id), F.col(score).desc(), F.col("chunk_id")], "_n")
-        first = rows.groupBy(query_id).agg(F.min("_n").alias("_first"))
-        return rows.join(first, query_id).select(query_id, "chunk_id", (F.col("_n") - F.col("_first") + 1).alias(name))
+        return _numbered(both.select(query_id, "chunk_id", score), query_id, [F.col(score).desc(), F.col("chunk_id")], name).drop(score)
     return ranked("ws", "w").join(ranked("ds", "d"), [query_id, "chunk_id"])
 
 

@@ -3,7 +3,7 @@
 import numpy as np
 import pyarrow as pa
 
-from casemill.operators import bootstrap, chunks, documents
+from casemill.operators import bootstrap, chunks, documents, fusion
 from casemill.queries import derived, pages, retrieval
 
 FOLDER = "/root/testdata/sf0.001"
@@ -59,3 +59,18 @@ def test_facts_of_one_split_are_many_tasks(spark):
     docs = spark.createDataFrame([(str(i), "FACTS AND VIOLATIVE CONDUCT He sold notes.") for i in range(64)], "case_no string, text string").coalesce(1)
     cases = docs.selectExpr("case_no", "'test' AS split")
     assert "Repartition" in plan_of(documents.facts_rows(cases, docs))
+
+
+def test_word_ranks_need_no_row_per_score_and_candidate(spark):
+    """Ranks of matched and unmatched candidates, and no list of a query's candidates beside each score."""
+    chunks_of = {1: {0: 2.0, 3: 5.0, 4: 2.0, 9: 1.0}, 2: {}, 3: {5: 1.0}}
+    rows = [(q, c, s) for q, own in chunks_of.items() for c, s in own.items()]
+    scores = spark.createDataFrame(rows, "q int, chunk_id long, score double")
+    wanted = spark.createDataFrame([(q, c) for q in chunks_of for c in (0, 1, 4, 5, 8, 11)], "q int, chunk_id long")
+    ranks = fusion._bm25_ranks(scores, wanted, "q")
+    assert "filter(" not in plan_of(ranks)
+    for r in ranks.collect():
+        own = chunks_of[r.q]
+        order = sorted(range(12), key=lambda c: (-own.get(c, 0.0), c))
+        assert r["rank"] == order.index(r.chunk_id) + 1
+    assert ranks.count() == 18
