@@ -4,7 +4,7 @@ import numpy as np
 import pyarrow as pa
 
 from casemill.operators import bootstrap, chunks, documents, fusion
-from casemill.queries import derived, pages, retrieval
+from casemill.queries import derived, pages, retrieval, text
 
 FOLDER = "/root/testdata/sf0.001"
 
@@ -74,3 +74,9 @@ def test_word_ranks_need_no_row_per_score_and_candidate(spark):
         order = sorted(range(12), key=lambda c: (-own.get(c, 0.0), c))
         assert r["rank"] == order.index(r.chunk_id) + 1
     assert ranks.count() == 18
+
+
+def test_sentences_are_worked_out_once(spark):
+    # one for violations, and one for a reader
+    assert plan_of(text.document_sentences(spark, FOLDER)).count("in contravention of") == 2
+    assert plan_of(text.label_evidence(spark, FOLDER)).count("in contravention of") == 1
