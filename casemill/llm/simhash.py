@@ -142,11 +142,20 @@ def deduplicated(docs: DataFrame) -> DataFrame:
     """
     names = docs.columns
     whole = F.struct(*[F.col(f"`{c}`") for c in names]).alias("row")  # nested, so no column name can clash
-    marked = written(docs.select(whole, F.col("doc_id").alias("key"), resemblance.entry("text").alias("e"))
-                     .select("row", "key", "e.copy", "e.n", "e.keys", "e.mark"))
-    first = marked.groupBy("copy").agg(F.min(F.struct(F.col("key").isNull().alias("none"), "key", "copy")).alias("first"))
-    roots = resemblance.groups(marked.select("copy", "n", "keys", "mark", "row.text"))
-    keepers = (roots.join(first, "copy").groupBy("root").agg(F.min("first").alias("first"))
-               .select(F.col("first.key").alias("keep"), F.col("first.copy").alias("keep_copy")))
-    stay = marked.join(keepers, marked["copy"].eqNullSafe(F.col("keep_copy")) & marked.key.eqNullSafe(F.col("keep")), "left_semi")
-    return stay.groupBy("key", "copy").agg(F.first("row").alias("row")).select("row.*")
+    marked = written(docs.select(whole, F.col("doc_id").alias("key"), resemblance.entry("text").alias("e")).select("row", "key", "e.*"))
+    ids = marked.groupBy("copy", "key").agg(F.count("*").alias("n"))
+    roots = resemblance.groups(marked.select("copy", "n", "keys", "mark", "print", "row.text"))
+    placed = written(ids.join(roots, "copy"))
+    first = placed.groupBy("root").agg(F.min(F.struct(F.col("key").isNull().alias("none"), "key", "copy")).alias("first"))
+    judged = written(placed.join(first, "root").select("copy", "key", "n", (
+        (F.col("copy") == F.col("first.copy")) & F.col("key").eqNullSafe(F.col("first.key"))).alias("kept")))
+
+    def of(some: DataFrame) -> Column:
+        return (marked["copy"] == some["_copy"]) & marked["key"].eqNullSafe(some["_key"])
+
+    # rows that stay as they are need not move: only what goes and what is there twice is looked up
+    named = judged.select(F.col("copy").alias("_copy"), F.col("key").alias("_key"), "n", "kept")
+    other, twice = written(named.filter("NOT kept OR n > 1")), named.filter("kept AND n > 1")
+    once = marked.join(other, of(other), "left_anti").select("row")
+    again = marked.join(twice, of(twice), "left_semi").groupBy("key", "copy").agg(F.first("row").alias("row")).select("row")
+    return once.unionByName(again).select("row.*")

@@ -131,3 +131,38 @@ def test_entries_of_a_batch_need_little_memory():
     rows = found.to_pylist()
     for i in (0, 1, 2, 3, 999, 2002):
         assert tuple(rows[i].values()) == resemblance.entry_of(texts[i])
+
+
+def test_a_tree_finds_the_nearest():
+    rng = random.Random(3)
+    prints = [rng.getrandbits(64) for _ in range(40)]
+    prints += [p ^ sum(1 << b for b in rng.sample(range(64), rng.randrange(14))) for p in prints for _ in range(4)]
+    tree = resemblance.Tree()
+    for i, p in enumerate(prints):
+        apart = [((p ^ q).bit_count(), j) for j, q in enumerate(prints[:i]) if j % 3]
+        got = tree.near(p, 24, 5, lambda j: j % 3 > 0)
+        want = sorted(x for x in apart if x[0] <= 24)[:5]
+        assert [x for x, _ in got] == [x for x, _ in want] and set(got) <= set(apart)
+        tree.add(p)
+
+
+def test_candidates_are_near_by_fingerprint(spark, monkeypatch):
+    """Pairs come from the trees, so they differ in few bits, and a text of a large group is compared a few times."""
+    rng = random.Random(4)
+    base, texts = [f"w{i}" for i in range(200)], []
+    for i in range(300):
+        copy = list(base)
+        for at in rng.sample(range(200), rng.randrange(1, 6)):
+            copy[at] = f"c{i}x{at}"
+        texts.append(" ".join(copy))
+    asked = []
+    whole = resemblance.plausible
+    monkeypatch.setattr(resemblance, "plausible", lambda pairs, marks: asked.extend(pairs.collect()) or whole(pairs, marks))
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    entries = docs.select(resemblance.entry("text").alias("e"), "text").select("e.*", "text").localCheckpoint()
+    roots = {r.root for r in resemblance.groups(entries).collect()}
+    of = {r.copy: r.print & resemblance.UNSIGNED for r in entries.collect()}
+    assert asked and all((of[r.a] ^ of[r.b]).bit_count() <= resemblance.RADIUS for r in asked)
+    assert len(asked) < 30 * len(texts), len(asked)  # three orders of at most 1, 8 and 16; with all keys on their own, hundreds
+    most = len(texts) - len(set(brute_groups(texts).values()))
+    assert most > 200 and len(texts) - len(roots) >= 0.95 * most
