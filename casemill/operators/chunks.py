@@ -7,21 +7,26 @@ from pyspark.sql import functions as F
 
 from casemill.functions import rulebook as B
 from casemill.functions import web
+from casemill.functions.arrays import let
 from casemill.operators.ordering import global_row_number, keep_first
+from casemill.sources.session import written
 from casemill.sources.tables import tasks
 
 
 def page_chunks(pages: DataFrame) -> DataFrame:
     """Chunks of the indexable pages, keyed by (page_order, part). Narrow: no shuffle."""
-    body = pages.withColumn("_body", B.rule_body(F.col("text"), F.coalesce("title", F.lit(""))))
-    kept = body.filter(B.indexable(F.col("rule_no"), F.col("_body")))
+    kept = pages.filter(B.may_be_indexed(F.col("rule_no")))
+    # a filter on the body or its words would make Spark work them out again, also the one on the size that it puts below a
+    # plain posexplode: a page too short has no windows
+    windows = let(B.rule_body(F.col("text"), F.coalesce("title", F.lit(""))), B.indexed_windows)
     return kept.select("page_order", F.upper("rule_no").alias("rule_no"), "title", "url",
-                       F.posexplode(B.word_windows(F.col("_body"))).alias("part", "text"))
+                       F.posexplode_outer(windows).alias("part", "text")).filter(F.col("part").isNotNull())
 
 
 def numbered_chunks(pages: DataFrame) -> DataFrame:
     """Chunks with a running ``chunk_id`` in page order."""
-    rows = global_row_number(page_chunks(pages), [F.col("page_order"), F.col("part")], "_n")
+    # written: the ranges are drawn from a sample, which would work all chunks out once more
+    rows = global_row_number(written(page_chunks(pages)), [F.col("page_order"), F.col("part")], "_n")
     return rows.withColumn("chunk_id", F.col("_n") - 1).drop("_n")
 
 
