@@ -1,5 +1,6 @@
 """The pipeline, stage by stage, against brute force on each stage's own input; registered queries against their SQL."""
 
+import pyarrow as pa
 import pytest
 from oracle import compare, connect
 
@@ -47,6 +48,23 @@ def test_clashing_columns(spark):
         assert stage(spark, empty, FOLDER).count() == 0
 
 
+def test_texts_go_to_python_in_small_batches(spark):
+    """Of short texts at most 500 rows at once, of long ones some 4 MB, in each stage."""
+    def sizes(batches):
+        for b in batches:
+            yield pa.RecordBatch.from_pydict({"rows": [b.num_rows], "mb": [b.nbytes / 1e6]})
+
+    names = list(corpus_pipeline.BATCH)
+    for _, stage in corpus_pipeline.STAGES:
+        for name in names:
+            spark.conf.unset(name)
+        stage(spark, spark.read.parquet(f"{FOLDER}/documents.parquet").limit(3), FOLDER)
+        short = spark.range(0, 3000, 1, 1).selectExpr("'a b c' AS text").mapInArrow(sizes, "rows long, mb double").collect()
+        assert max(r.rows for r in short) == 500 and sum(r.rows for r in short) == 3000
+        long = spark.range(0, 400, 1, 1).selectExpr("repeat('word ', 20000) AS text").mapInArrow(sizes, "rows long, mb double").collect()
+        assert max(r.mb for r in long) < 6 and sum(r.rows for r in long) == 400
+
+
 def test_run(spark):
     whole = corpus_pipeline.run(spark, FOLDER)
     docs = spark.read.parquet(f"{FOLDER}/documents.parquet")
