@@ -5,7 +5,7 @@ import pyarrow as pa
 from pyspark.sql import functions as F
 
 from casemill.functions import patterns
-from casemill.operators import bootstrap, chunks, classifier, documents, fusion
+from casemill.operators import bootstrap, chunks, classifier, documents, fusion, regression
 from casemill.queries import derived, pages, retrieval, text
 from casemill.sources.tables import tasks
 
@@ -113,3 +113,19 @@ def test_orders_are_dealt_over_tasks(spark):
     assert rows.rdd.getNumPartitions() >= tasks(items) >= 4 * spark.sparkContext.defaultParallelism
     dealt = [r.n for r in rows.groupBy(F.spark_partition_id()).agg(F.count("*").alias("n")).collect()]
     assert sum(dealt) == items.select("l_orderkey").distinct().count() and max(dealt) < 3 * sum(dealt) / tasks(items)
+
+
+def test_regression_keeps_numbers_per_row_not_per_term(spark, monkeypatch):
+    """Terms numbered up to a thousand million: as many coefficients would not fit the driver. Scores are as with few."""
+    rows = [(i, ([i % 2, 2 + i % 3], [0.8, 0.6]), i % 2) for i in range(12)]
+    schema = "doc_id long, features struct<index: array<int>, weight: array<double>>, a int"
+    few = spark.createDataFrame(rows, schema)
+    far = few.selectExpr("doc_id", "named_struct('index', transform(features.index, x -> x * 200000000), 'weight', features.weight) AS features", "a")
+    sizes, whole = [], regression._pass
+    monkeypatch.setattr(regression, "_pass", lambda cells, parts, *x: sizes.append(parts.shape[1]) or whole(cells, parts, *x))
+    models = classifier.fit_labels(far, ["a"], 10**9)
+    assert set(sizes) == {12}
+    got = {r.doc_id: r.p for r in classifier.predict_labels(models, far, "doc_id", "m").collect()}
+    plain = classifier.predict_labels(classifier.fit_labels(few, ["a"], 5), few, "doc_id", "m")
+    want = {r.doc_id: r.p for r in plain.collect()}
+    assert len(want) == 12 and all((want[i] > 0.5) == (i % 2 == 1) and abs(got[i] - want[i]) < 1e-4 for i in want)
