@@ -166,3 +166,21 @@ def test_candidates_are_near_by_fingerprint(spark, monkeypatch):
     assert len(asked) < 30 * len(texts), len(asked)  # three orders of at most 1, 8 and 16; with all keys on their own, hundreds
     most = len(texts) - len(set(brute_groups(texts).values()))
     assert most > 200 and len(texts) - len(roots) >= 0.95 * most
+
+
+def test_no_link_of_a_large_group_is_left_out(spark, monkeypatch):
+    """Groups of near copies exactly as by brute force, with links that no few nearest neighbours show, over several tiles."""
+    rng = random.Random(4)
+    base, texts = [f"w{i}" for i in range(200)], []
+    for i in range(300):
+        copy = list(base)
+        for at in rng.sample(range(200), rng.randrange(1, 8)):
+            copy[at] = f"c{i}x{at}"
+        texts.append(" ".join(copy))
+    monkeypatch.setattr(resemblance, "TILE", 40)
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    entries = docs.select(resemblance.entry("text").alias("e"), "text").select("e.*", "text").localCheckpoint()
+    of = {r.text: r.copy for r in entries.collect()}
+    root = {r.copy: r.root for r in resemblance.groups(entries).collect()}
+    want = brute_groups(texts)
+    assert len({(want[t], root[of[t]]) for t in texts}) == len(set(want.values())) == len(set(root.values()))
