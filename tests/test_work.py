@@ -129,3 +129,18 @@ def test_regression_keeps_numbers_per_row_not_per_term(spark, monkeypatch):
     plain = classifier.predict_labels(classifier.fit_labels(few, ["a"], 5), few, "doc_id", "m")
     want = {r.doc_id: r.p for r in plain.collect()}
     assert len(want) == 12 and all((want[i] > 0.5) == (i % 2 == 1) and abs(got[i] - want[i]) < 1e-4 for i in want)
+
+
+def test_weights_shuffle_no_row_per_document_and_term(spark, monkeypatch):
+    """Blocks and buckets of a few characters give the weights of the plain way; ids may be null or repeated, texts too."""
+    texts = ["sold notes to the firm", "the firm sold notes notes", "Notes of the ÉTAT firm 2024", "a b", "", None, "only once here", "the notes", "The NOTES"] * 3
+    docs = spark.createDataFrame([(None if i % 9 == 7 else i % 20, t) for i, t in enumerate(texts)], "doc_id long, text string")
+    monkeypatch.setattr(classifier, "BLOCK", 40)
+    found = classifier.own_weights(docs, "doc_id", "text", min_df=2, max_df=0.8)
+    assert "hashpartitioning(term" not in found._jdf.queryExecution().toString()
+    fitted = classifier.fit_tfidf(docs, "doc_id", "text", min_df=2, max_df=0.8).weights(docs, "doc_id", "text")
+
+    def rows(df):
+        return sorted((-1 if r.doc_id is None else r.doc_id, r.term, round(r.weight, 9)) for r in df.collect())
+    assert rows(found) == rows(fitted) and len(rows(found)) > 100
+    assert classifier.own_weights(docs.limit(0), "doc_id", "text").count() == 0
